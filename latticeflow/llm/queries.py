@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepiece_nbest, token_counts, warc
+from . import language_id, near_dedup, sentencepiece_nbest, token_counts, warc
 from .common import table
 
 
@@ -24,6 +24,28 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, prototypes).select("doc_id", (held("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), num=85)
+
+
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""
+with recursive w as (select doc_id, {WORDS.replace("coalesce(text, '')", LOWER.format("coalesce(text, '')"))} w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) s from w),
+x as (select doc_id, hash(unnest(s)) h from s),
+c as (select h from x group by h having count(*) > 1),
+y as (select x.* from x join c using (h)),
+p as (select a.doc_id a, b.doc_id b, count(*) i from y a join y b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * i >= 85 * (len(sa.s) + len(sb.s) - i)),
+r as (select doc_id, doc_id o from documents union select r.doc_id, l.b from r join l on l.a = r.o),
+m as (select doc_id, min(o) component_id from r group by 1)
+select m.doc_id, cast(len(s.s) as bigint) n_shingles, component_id, m.doc_id = component_id kept from m join s using (doc_id)
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.encode(table(spark, sf_dir, "documents"), n_best=3, ids=False)
 
@@ -47,7 +69,8 @@ from r
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_language_id": op4_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
 }
-SQL = {"op8_warc": OP8_SQL}
+SQL = {"op5_near_dedup": OP5_SQL, "op8_warc": OP8_SQL}
