@@ -127,7 +127,7 @@ def links(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int) -> Data
     overlap = least_overlap(num / 100, k)
     lists = cut(rare_lists(reps, overlap, num), "lists")
     members = lists.select("doc").distinct()
-    texts = cut(docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
+    texts = cut(docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
     known = cut(reps.join(members, "doc", "left_semi").select("doc", "n", "sketch"), "sketches")
     state = lists.withColumn("comp", F.col("doc")).withColumn("met", F.lit(False))
     found: DataFrame | None = None
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sk = cut(sketches(docs, k=k, size=size), "sketches")
     full = sk.filter("n > 0 and doc_id is not null")
     classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc")), "classes")
-    reps = full.withColumnRenamed("doc_id", "doc").join(classes.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    reps = full.withColumnRenamed("doc_id", "doc").join(classes.select("doc"), "doc", "left_semi")
     found = links(docs, reps, num, size, k)
     ids = classes
     if found is not None:

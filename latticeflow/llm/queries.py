@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, sentencepiece_nbest, token_counts, warc
+from . import decontaminate, language_id, near_dedup, sentencepiece_nbest, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def held(column: str, mod: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(mod))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = F.coalesce(held("doc_id", 4), F.lit(2))
@@ -24,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, prototypes).select("doc_id", (held("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), num=85)
 
@@ -31,6 +39,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = f"""
+with w as (select doc_id, {WORDS} w from documents),
+g as (select doc_id, unnest(range(1, len(w) - 48)) s from w where len(w) >= 50),
+h as (select g.doc_id, s, md5(array_to_string(w.w[s:s+49], ' ')) h from g join w on g.doc_id = w.doc_id),
+f as (select h, min(doc_id) d from h group by h),
+r as (select h.doc_id, s from h join f using (h) where h.doc_id > f.d),
+x as (select distinct doc_id, unnest(range(s, s + 50)) k from r),
+a as (select doc_id, list(k) ks from x group by doc_id)
+select w.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(ks), 0) as bigint) n_removed,
+  sha256(coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(coalesce(ks, []), i) then null else w[i] end), lambda y: y is not null), ' '), '')) kept_sha256
+from w left join a using (doc_id)
+"""
+
 OP5_SQL = f"""
 with recursive w as (select doc_id, {WORDS.replace("coalesce(text, '')", LOWER.format("coalesce(text, '')"))} w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
@@ -67,10 +88,12 @@ from r
 """
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
 }
-SQL = {"op5_near_dedup": OP5_SQL, "op8_warc": OP8_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op8_warc": OP8_SQL}
