@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, sentencepiece_nbest, substring_dedup, token_counts, warc
+from . import decontaminate, language_id, near_dedup, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -77,6 +77,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 OP8_SQL = """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
 q as (select page_id, octet_length(b) n, sha1(b) d from p),
@@ -95,5 +100,6 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
+    "op9_quality_rules": op9_quality_rules,
 }
 SQL = {"op1_substring_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op8_warc": OP8_SQL}
