@@ -88,8 +88,8 @@ class Rule:
         return all(row[f] <= x if op == "<=" else row[f] > x for f, op, x in self.conditions)
 
 
-def _grow(rows: list[tuple[dict[str, float], bool]], names: list[str], most: int) -> tuple[tuple[str, str, float], ...]:
-    """Adds the condition with the largest FOIL gain until none gains."""
+def _grow(rows: list[tuple[dict[str, float], bool]], names: list[str], most: int, barred: set[str]) -> tuple[tuple[str, str, float], ...]:
+    """Adds the condition with the largest FOIL gain until none gains; a barred feature can't begin."""
     conditions: tuple[tuple[str, str, float], ...] = ()
     while len(conditions) < most:
         p0, n0 = sum(y for _, y in rows), sum(not y for _, y in rows)
@@ -97,6 +97,8 @@ def _grow(rows: list[tuple[dict[str, float], bool]], names: list[str], most: int
             break
         best, before = (0.0, None), math.log2(p0 / (p0 + n0))
         for f in names:
+            if not conditions and f in barred:
+                continue
             order = sorted((r[f], y) for r, y in rows)
             total, ps = len(order), [0]
             for _, y in order:
@@ -132,14 +134,14 @@ def learn(rows: list[tuple[dict[str, float], bool]], names: list[str]) -> list[R
     """An ordered list of rejecting rules; rows hold features and whether the label says reject."""
     grow, check = [x for k, x in enumerate(rows) if k % 3], [x for k, x in enumerate(rows) if k % 3 == 0]
     out: list[Rule] = []
-    while len(out) < 32:
-        conditions = _grow(grow, names, MAX_CONDITIONS)
-        if not conditions:
-            return out
+    barred: set[str] = set()
+    while conditions := _grow(grow, names, MAX_CONDITIONS, barred):
         rule = _prune(conditions, check)
         if rule.covered < MIN_COVERED or rule.precision < MIN_PRECISION:
-            return out
+            barred.add(conditions[0][0])  # a beginning that misled; another may do
+            continue
         out.append(rule)
+        barred.clear()
         grow, check = ([x for x in part if not rule.holds(x[0])] for part in (grow, check))
     return out
 
