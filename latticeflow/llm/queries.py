@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, warc
+from . import decontaminate, katz, language_id, near_dedup, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -92,6 +92,11 @@ select page_id, cast(n as bigint) payload_bytes, d payload_digest,
 from r
 """
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(table(spark, sf_dir, "documents"), held("doc_id", 10) != 0)
+    return scored.select("doc_id", (held("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -101,5 +106,6 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_katz": op10_katz,
 }
 SQL = {"op1_substring_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op8_warc": OP8_SQL}
