@@ -156,3 +156,20 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
         part = texts.mapInArrow(work, f"doc_id {kind}, item_id {ikind}, edits int, match_end long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {ikind}, edits int, match_end long")
+
+
+def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows, as they are, in which no item is found."""
+    at = docs.columns.index(text)
+    for block in item_blocks(items, item_id, text, min_chars, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def work(batches, sent=sent):
+            import pyarrow as pa
+
+            match = Matcher(sent.value, budget)
+            for batch in batches:
+                yield batch.filter(pa.array([not match.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs

@@ -151,3 +151,22 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.1, text: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a language with at least this score."""
+    names, at = sorted(prototypes), docs.columns.index(text)
+    known = np.array([prototypes[k] for k in names], dtype=np.float32) if names else None
+
+    def work(batches):
+        import pyarrow as pa
+
+        hd = Profiles(known.shape[1] if names else SIZE)
+        for batch in batches:
+            keep = []
+            for t in batch.column(at).to_pylist():
+                v = hd.bundle(t) if known is not None else None
+                keep.append(v is not None and float((known @ v).max()) >= min_score * max(1e-9, float(np.linalg.norm(v))))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, language_id, near_dedup, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, warc
+from . import decontaminate, katz, language_id, near_dedup, quality_model, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -67,6 +67,11 @@ select m.doc_id, cast(len(s.s) as bigint) n_shingles, component_id, m.doc_id = c
 """
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.classify(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.encode(table(spark, sf_dir, "documents"), n_best=3, ids=False)
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
+    "op6_quality_model": op6_quality_model,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WindowHash, as_bytes, cut, word_bounds, word_hashes
+from .common import U64, WindowHash, as_bytes, cut, word_hashes
 
 WIDTH = 50
 
@@ -135,6 +135,18 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
+def _left(n: int, spans: list) -> np.ndarray:
+    """Places of the words that no span covers."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, [min(s["lo"], n) for s in spans], 1)
+    np.add.at(edge, [min(s["hi"], n) for s in spans], -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+
+
+def _kept(words: list[bytes], spans: list) -> bytes:
+    return b" ".join([words[k] for k in _left(len(words), spans)])
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for every document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -150,15 +162,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 total, gone, digest, kept_texts = [], [], [], []
                 for t, spans in zip(as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
                     words = t.split() if t else []
-                    n = len(words)
-                    if spans:
-                        edge = np.zeros(n + 1, dtype=np.int64)
-                        np.add.at(edge, [min(s["lo"], n) for s in spans], 1)
-                        np.add.at(edge, [min(s["hi"], n) for s in spans], -1)
-                        words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                    kept = b" ".join(words)
-                    total.append(n)
-                    gone.append(n - len(words))
+                    left = _left(len(words), spans) if spans else words
+                    kept = _kept(words, spans) if spans else b" ".join(words)
+                    total.append(len(words))
+                    gone.append(len(words) - len(left))
                     digest.append(hashlib.sha256(kept).hexdigest())
                     kept_texts.append(kept)
                 cols = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
@@ -170,6 +177,37 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return docs.join(cut(repeated(docs, width), "spans"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(work, schema)
 
 
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", width: int = WIDTH) -> DataFrame:
+    """The rows with repeated windows cut from their texts, and lengths to match.
+
+    A text without repeats stays as it is; of another, the kept words are joined by single spaces.
+    """
+    names, schema = docs.columns, docs.schema
+    spans = cut(repeated(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width), "spans")
+    at, size = names.index(text), names.index(n_chars) if n_chars in names else None
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                texts, sizes = as_bytes(part.column(at)), part.column(size).to_pylist() if size is not None else None
+                for k, found in enumerate(part.column(len(names)).to_pylist()):
+                    if found:
+                        texts[k] = _kept(texts[k].split(), found)
+                        if sizes is not None:
+                            sizes[k] = len(texts[k].decode())
+                cols = part.columns[: len(names)]
+                cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+                if sizes is not None:
+                    cols[size] = pa.array(sizes, cols[size].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
+    return docs.join(spans, docs[doc_id] == spans["_span_id"], "left").drop("_span_id").select(*(docs[c] for c in names), "_spans").mapInArrow(work, schema)
+
+
 def repeat_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", start: int = WIDTH) -> DataFrame:
     """(doc_id, longest): the greatest length start * 2**k of which a document repeats a window of an
     earlier one.  Each level looks only at documents that take part in a repeat of the level before.
