@@ -28,37 +28,65 @@ MAX_CONDITIONS, MIN_PRECISION, MIN_COVERED = 3, 0.9, 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row.
+
+    It is bound by a lambda, so that no rewriting of the plan can move it into another lambda and
+    have it computed again for each element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeats(h: Column) -> Column:
+    """Words in windows whose hash occurs twice or more in h, the hashes of all windows in order.
+
+    In the order of hashes a window is a repeat if a neighbour is the same.  Each repeat covers five
+    words, less what the next one covers.
+    """
+    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def places(s: Column) -> Column:
+        same = lambda k, j: F.coalesce(F.get(s, k)["h"] == F.get(s, j)["h"], F.lit(False))
+        both = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
+        return F.array_sort(F.transform(both, lambda k: F.get(s, k)["i"]))
+
+    def cover(p: Column) -> Column:
+        step = F.transform(p, lambda x, k: F.least(F.lit(5), F.coalesce(F.get(p, k + 1), x + 5) - x))
+        return F.aggregate(step, F.lit(0), lambda a, x: a + x)
+
+    return _bound(pairs, lambda s: _bound(places(s), cover))
+
+
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the five counts to (doc_id, text)."""
+    """Adds the counts of a text to its row."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_t", t)
-    d = d.withColumn("_w", F.transform(F.filter(F.split("_t", WORD_GAP, -1), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    d = d.withColumn("n_words", F.size("_w").cast("long"))
-    # Outer lambdas bind an array once; indices below are then plain look-ups.
-    d = d.withColumn("_h", F.expr("transform(sequence(0, greatest(size(_w) - 5, 0)), i -> xxhash64(_w[i], _w[least(i + 1, size(_w) - 1)], _w[least(i + 2, size(_w) - 1)], _w[least(i + 3, size(_w) - 1)], _w[least(i + 4, size(_w) - 1)]))"))
-    d = d.withColumn("_d", F.expr("n_words >= 5 and size(array_distinct(_h)) < size(_h)"))
-    # Only texts with a repeated window sort their windows: a place is a repeat if the window beside
-    # it in the order is the same.  Each window covers five words, less what the next one covers.
-    places = """
-        transform(array(array_sort(transform(_h, (h, i) -> struct(h as h, i as i)))), s ->
-          transform(array(array_sort(transform(filter(sequence(0, size(s) - 1), k -> s[k].h = s[greatest(k - 1, 0)].h and k > 0 or s[k].h = s[least(k + 1, size(s) - 1)].h and k < size(s) - 1), k -> s[k].i))), p ->
-            aggregate(transform(p, (x, k) -> least(5, coalesce(get(p, k + 1), x + 5) - x)), 0, (a, x) -> a + x))[0])[0]
-    """
-    d = d.withColumn("n_repeat_words", F.when(F.col("_d"), F.expr(places)).otherwise(F.lit(0)).cast("long"))
-    no_space = F.translate("_t", " \t\n\x0b\f\r", "")
-    lines = "filter(split(_t, '\\n', -1), x -> translate(x, ' \\t\\n\\u000b\\f\\r', '') <> '')"
-    d = d.withColumn("_l", F.expr(lines))
+    words = F.transform(F.filter(F.split(t, WORD_GAP, -1), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(n - 5, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5))))
+        # Only texts with a repeated window sort their windows.
+        repeats = _bound(windows, lambda h: F.when((n >= 5) & (F.size(F.array_distinct(h)) < F.size(h)), _repeats(h)).otherwise(F.lit(0)))
+        return F.struct(n.cast("long").alias("n"), repeats.cast("long").alias("r"))
+
+    space = lambda x: F.translate(x, " \t\n\x0b\f\r", "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: space(x) != "")
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))
+    count = lambda chars: (F.char_length(t) - F.char_length(F.translate(t, chars, ""))).cast("long")
+    d = docs.withColumns({"_words": _bound(words, of_words), "_lines": _bound(lines, of_lines)})
     return d.withColumns(
         {
-            "word_chars": F.char_length(no_space).cast("long"),
-            "n_symbols": (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_upper": (F.char_length("_t") - F.char_length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZÉÈÄÖÜÑÍÓ", ""))).cast("long"),
-            "n_digits": (F.char_length("_t") - F.char_length(F.translate("_t", "0123456789", ""))).cast("long"),
-            "n_marks": (F.char_length("_t") - F.char_length(F.translate("_t", "!?.,;:", ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
+            "n_words": F.col("_words.n"),
+            "n_repeat_words": F.col("_words.r"),
+            "n_lines": F.col("_lines.n"),
+            "n_dup_lines": F.col("_lines.d"),
+            "word_chars": F.char_length(space(t)).cast("long"),
+            "n_symbols": count(SYMBOLS),
+            "n_upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZÉÈÄÖÜÑÍÓ"),
+            "n_digits": count("0123456789"),
+            "n_marks": count("!?.,;:"),
         }
-    ).drop("_t", "_w", "_h", "_d", "_l")
+    ).drop("_words", "_lines")
 
 
 def features() -> dict[str, Column]:
