@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,8 +143,6 @@ def label(pattern: str, name: str = "name") -> Column:
 
 
 def _python_label(pattern: str):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def of(names: pd.Series) -> pd.Series:
         rx = re.compile(pattern)

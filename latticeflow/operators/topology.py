@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,6 @@ def parallel(pairs: DataFrame, count: int = 1, capacity: float = 1.0, cost: floa
 
 def _merge_attrs(new: Mapping):
     """attrs with first-level keys replaced."""
-    old = F.from_json("attrs", "map<string,string>")
-    del old
-    import json
-
-    import pandas as pd
-
     text = json.dumps(dict(new))
 
     @F.pandas_udf("string")

@@ -233,7 +233,7 @@ def shared_risk(spark, sf):
     return fl.shared_risk(m, [first] if first else [])
 
 
-@query("select p_partkey, sum(greatest(p_size - 10, 0)) over (order by p_partkey) upto from part where p_partkey <= 200")
+@query("select p_partkey, cast(sum(greatest(p_size - 10, 0)) over (order by p_partkey) as bigint) upto from part where p_partkey <= 200")
 def mode_pick_cumulative(spark, sf):
     p = read(spark, sf, "part").filter("p_partkey <= 200").select("p_partkey", (F.col("p_size") - 10).cast("long").alias("w"))
     return fl.cumulative_weights(p, "p_partkey", "w").select("p_partkey", "upto")
@@ -283,25 +283,25 @@ def min_cut_frequency(spark, sf):
     return ag.edge_frequency(cuts, ["source"], "edges")
 
 
-@query("select source, round(sum(v * (event_id % 4 + 1)) / sum(event_id % 4 + 1), 6) mean, min(v) min, max(v) max, sum(event_id % 4 + 1) count from fw group by 1", FLOWS)
+@query("select source, round(sum(v * (event_id % 4 + 1)) / sum(event_id % 4 + 1), 6) mean, min(v) min, max(v) max, cast(sum(event_id % 4 + 1) as bigint) count from fw group by 1", FLOWS)
 def sensitivity_weighted_mean(spark, sf):
     rows = event_flows(spark, sf).withColumn("times", F.col("event_id") % 4 + 1)
     return ag.weighted_sensitivity(rows, ["source"], "v", "times").withColumn("mean", F.round("mean", 6))
 
 
-@query("select source, sum(v) total_demand, sum(least(v, 40)) total_placed, round(sum(least(v, 40)) / sum(v), 9) overall_ratio, count(*) filter (v > 40) dropped_flows, count(*) num_flows from fw group by 1", FLOWS)
+@query("select source, cast(sum(v) as bigint) total_demand, cast(sum(least(v, 40)) as bigint) total_placed, round(sum(least(v, 40)) / sum(v), 9) overall_ratio, count(*) filter (v > 40) dropped_flows, count(*) num_flows from fw group by 1", FLOWS)
 def flow_summary(spark, sf):
     f = event_flows(spark, sf).select("source", F.col("v").alias("demand"), F.least(F.col("v"), F.lit(40)).alias("placed"))
     return ag.flow_summary(f, ["source"]).withColumn("overall_ratio", F.round("overall_ratio", 9))
 
 
-@query("select source, destination as cost, sum(v) volume from fw group by 1, 2", FLOWS)
+@query("select source, destination as cost, cast(sum(v) as bigint) volume from fw group by 1, 2", FLOWS)
 def cost_distribution_merge(spark, sf):
     c = event_flows(spark, sf).select("source", F.col("destination").alias("cost"), F.col("v").alias("volume"))
     return ag.merge_costs(c, ["source"]).select("source", F.explode("cost_distribution").alias("cost", "volume"))
 
 
-@query("select distinct v * 0.125 as x, rtrim(rtrim(printf('%.9f', v * 0.125), '0'), '.') as key from fw where v > 0", FLOWS)
+@query("select distinct cast(v * 0.125 as double) as x, rtrim(rtrim(printf('%.9f', v * 0.125), '0'), '.') as key from fw where v > 0", FLOWS)
 def number_keys(spark, sf):
     x = event_flows(spark, sf).filter("v > 0").select((F.col("v") * 0.125).alias("x")).distinct()
     return x.select("x", number_key_column(F.col("x")).alias("key"))
@@ -323,7 +323,7 @@ BUY = """buy as (select name, 'box' component, cast(k % 2 + 1 as double) pieces,
  pre as (select *, '' path, 0 as level from buy union all select *, split_part(name, '/', 1), 1 from buy union all select *, name, 2 from buy)"""
 
 
-@query("select level, path, sum(capex) capex, sum(power) power_watts from pre group by 1, 2", ND, LK, BUY)
+@query("select level, path, cast(sum(capex) as double) capex, cast(sum(power) as double) power_watts from pre group by 1, 2", ND, LK, BUY)
 def cost_power_levels(spark, sf):
     return hw.cost_power(*equipped(spark, sf))
 
