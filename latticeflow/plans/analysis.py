@@ -76,8 +76,6 @@ class Analysis:
         both are question-sized, and each combination is one piece of work."""
         sent = self.spark.sparkContext.broadcast((graph, units, self.off_nodes, self.off_links))
         work = patterns.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(units) - 1))))) if units else patterns.withColumn("unit", F.lit(0)).limit(0)
-        names = [c.split()[0] for c in PATTERNS.split(", ")]
-
         def run(batches):
             import pandas as pd
 
@@ -92,9 +90,16 @@ class Analysis:
                 yield pd.DataFrame(rows, columns=columns)
 
         columns = [f.name for f in self.spark.createDataFrame([], schema).schema]
-        del names
         return work.repartition(self.partitions).mapInPandas(run, schema)
 
+    def ask(self, kernel, schema: str, units: list | None = None, patterns: DataFrame | None = None, extra: list = ()) -> DataFrame:
+        """A user's own kernel(graph, nodes, edges, unit) over all units and patterns.
+
+        It gives rows of the schema; a schema that begins with PATTERNS gets the pattern in front.
+        extra lists more edges (from, to, capacity, cost).
+        """
+        return self._over(patterns if patterns is not None else self.baseline(), units or [None], self.network.graph(list(extra)), kernel, schema)
+
     def max_flow(self, source, target, mode: str = "combine", shortest_path: bool = False, require_capacity: bool = True, placement: str = kn.PROPORTIONAL, patterns: DataFrame | None = None, sensitivity: bool = False) -> DataFrame:
         """Flow between groups; overlapping groups have none.  With sensitivity, also the full edges
         without which less would flow."""
