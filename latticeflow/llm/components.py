@@ -21,9 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("label").alias("l")), "y").groupBy(F.col("x").alias("node")).agg(F.min("l").alias("l"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        step = cut(step, "labels")
-        far = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         nxt = cut(step.join(far, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        if not nxt.filter("old <> label").limit(1).count():
-            return nxt.select("node", "label")
         labels = nxt.select("node", "label")
+        if not nxt.filter("old <> label").limit(1).count():
+            return labels

@@ -32,7 +32,7 @@ from .components import components
 
 SHINGLE, K, MISS = 5, 48, 1e-10
 BLOCK = 256  # partners that meet one copy of a pivot's text
-PIVOTS = (1, 8, 32)  # of a list in the first, second and later rounds
+SMALL, PIVOTS = 32, 64  # lists up to SMALL close in the second round; larger ones take PIVOTS each
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -82,13 +82,13 @@ def _needed(size, overlap: int, num: int):
 def rare_lists(reps: DataFrame, overlap: int, num: int) -> DataFrame:
     """(v, doc): the inverted lists of each sketch's rarest values, those with two members or more."""
     each = reps.select("doc", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    often = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    often = cut(each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")  # a join of two plain sides can be split
     shared = each.join(often, "v").groupBy("doc").agg(F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # Values of one sketch alone come first in the order and meet nothing.
     slots = F.size("vs") - _needed(F.col("s"), overlap, num) + 1
     rare = shared.filter(slots > 0).select("doc", F.explode(F.slice("vs", F.lit(1), slots)).alias("x")).select("doc", F.col("x.v").alias("v"))
     rare = cut(rare, "lists")
-    return rare.join(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "v").select("v", "doc")
+    return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, num: int, size: int) -> DataFrame:
@@ -122,40 +122,44 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int, size: int) -> DataFrame
     return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def links(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int) -> DataFrame | None:
-    """Verified links (a, b) between representatives that join all their components."""
+def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int) -> DataFrame | None:
+    """(node, label): components of the representatives under verified links; None without links."""
     overlap = least_overlap(num / 100, k)
     lists = cut(rare_lists(reps, overlap, num), "lists")
     members = lists.select("doc").distinct()
     texts = cut(docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
     known = cut(reps.join(members, "doc", "left_semi").select("doc", "n", "sketch"), "sketches")
     state = lists.withColumn("comp", F.col("doc")).withColumn("met", F.lit(False))
-    found: DataFrame | None = None
+    found = label = None
     turn = 0
     while True:
         # Lists in one component are finished.  Else the members outside the list's largest
         # component must meet the rest; those that have not, in turn.
         groups = state.groupBy("v", "comp").agg(F.count("*").alias("c"))
-        open_lists = groups.groupBy("v").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1")
-        here = cut(state.join(open_lists.select("v", "main"), "v"), "open")
+        open_lists = groups.groupBy("v").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1")
+        here = cut(state.join(open_lists.select("v", "main", "m"), "v"), "open")
         waits = here.filter("not met" if turn == 0 else "not met and comp <> main")
-        spread = F.pmod(F.xxhash64("doc"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
+        spread = F.lit(0) if turn == 0 else F.when(F.col("m") <= SMALL, F.xxhash64("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)))
         pivots = cut(waits.groupBy("v", spread.alias("spread")).agg(F.min_by(F.struct("doc", "comp"), "doc").alias("p")).select("v", F.col("p.doc").alias("p"), F.col("p.comp").alias("pc")), "pivots")
         if not pivots.limit(1).count():
-            return found
-        pairs = here.join(pivots, "v").filter("comp <> pc and p <> doc").select("p", F.col("doc").alias("x")).distinct()
+            return label
+        pairs = here.join(pivots, "v").filter("comp <> pc and p <> doc")
+        # Two pivots of a small list would meet twice.
+        swap = (F.col("m") <= SMALL) & (F.col("doc") < F.col("p"))
+        pairs = pairs.select(F.when(swap, F.col("doc")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("doc")).alias("x")).distinct()
         mine = known.select(F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
         pairs = pairs.join(known.select(F.col("doc").alias("x"), "n", "sketch"), "x").join(mine, "p")
         pairs = pairs.filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * num)
         union = F.slice(F.array_sort(F.array_union("ps", "sketch")), 1, k)
         shared = F.size(F.array_intersect(union, F.array_intersect("ps", "sketch")))
         pairs = cut(pairs.filter(shared >= _needed(F.least(F.size("ps"), F.size("sketch")), overlap, num)).select("p", "x"), "pairs")
-        new = verify(pairs, texts, num, size)
-        found = cut(new if found is None else found.unionByName(new), "found")
-        label = components(found)
-        state = here.drop("main").join(pivots.select("v", F.col("p").alias("doc"), F.lit(True).alias("now")), ["v", "doc"], "left")
-        state = state.join(label.withColumnRenamed("node", "doc"), "doc", "left")
-        state = cut(state.select("v", "doc", F.coalesce("label", "doc").alias("comp"), (F.col("met") | F.coalesce("now", F.lit(False))).alias("met")), "state")
+        new = cut(verify(pairs, texts, num, size), "found")
+        if new.limit(1).count():
+            found = new if found is None else found.unionByName(new)
+            label = components(found)
+        state = here.drop("main", "m").join(pivots.select("v", F.col("p").alias("doc"), F.lit(True).alias("now")), ["v", "doc"], "left")
+        state = state.withColumn("label", F.col("comp")) if label is None else state.join(label.withColumnRenamed("node", "doc"), "doc", "left")
+        state = cut(state.select("v", "doc", F.coalesce("label", "comp").alias("comp"), (F.col("met") | F.coalesce("now", F.lit(False))).alias("met")), "state")
         turn += 1
 
 
@@ -170,10 +174,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = sk.filter("n > 0 and doc_id is not null")
     classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc")), "classes")
     reps = full.withColumnRenamed("doc_id", "doc").join(classes.select("doc"), "doc", "left_semi")
-    found = links(docs, reps, num, size, k)
+    label = joined(docs, reps, num, size, k)
     ids = classes
-    if found is not None:
-        ids = classes.join(components(found).withColumnRenamed("node", "doc"), "doc", "left").withColumn("doc", F.coalesce("label", "doc"))
+    if label is not None:
+        ids = classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("doc", F.coalesce("label", "doc"))
     rows = full.select("doc_id", "d1", "d2", "n").join(ids.select("d1", "d2", "n", F.col("doc").alias("component_id")), ["d1", "d2", "n"])
     rows = rows.select("doc_id", "n", "component_id").unionByName(sk.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
