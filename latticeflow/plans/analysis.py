@@ -34,6 +34,7 @@ class Analysis:
         self.spark = network.nodes.sparkSession
         self.partitions = partitions or self.spark.sparkContext.defaultParallelism
         self.off_nodes, self.off_links = network.off()
+        self._graphs: dict[tuple, kn.Graph] = {}
 
     # Groups -------------------------------------------------------------------------------------
 
@@ -69,6 +70,13 @@ class Analysis:
         rows = drawn.select(named("excluded_nodes", "excluded_links").alias("failure_id"), "excluded_nodes", "excluded_links", "occurrence_count", "trace")
         return self.baseline().unionByName(rows.filter("failure_id <> ''")).unionByName(rows.filter("failure_id = ''").withColumn("failure_id", F.lit("none")))
 
+    def graph(self, extra: Sequence = ()) -> kn.Graph:
+        """The working graph, collected once for each set of extra edges."""
+        key = tuple(extra)
+        if key not in self._graphs:
+            self._graphs[key] = self.network.graph(list(extra))
+        return self._graphs[key]
+
     # Work ---------------------------------------------------------------------------------------
 
     def _over(self, patterns: DataFrame, units: list, graph: kn.Graph, kernel, schema: str) -> DataFrame:
@@ -98,7 +106,7 @@ class Analysis:
         It gives rows of the schema; a schema that begins with PATTERNS gets the pattern in front.
         extra lists more edges (from, to, capacity, cost).
         """
-        return self._over(patterns if patterns is not None else self.baseline(), units or [None], self.network.graph(list(extra)), kernel, schema)
+        return self._over(patterns if patterns is not None else self.baseline(), units or [None], self.graph(extra), kernel, schema)
 
     def max_flow(self, source, target, mode: str = "combine", shortest_path: bool = False, require_capacity: bool = True, placement: str = kn.PROPORTIONAL, patterns: DataFrame | None = None, sensitivity: bool = False) -> DataFrame:
         """Flow between groups; overlapping groups have none.  With sensitivity, also the full edges
@@ -117,7 +125,7 @@ class Analysis:
             less = kn.sensitivity(g, g.index[s], g.index[t], nodes, edges, **how) if sensitivity else {}
             return [(a, b, f.total, f.by_cost, [{"link_id": g.link[e], "direction": g.direction[e], "less": x} for e, x in less.items()])]
 
-        return self._over(patterns if patterns is not None else self.baseline(), units, self.network.graph(extra), kernel, FLOW)
+        return self._over(patterns if patterns is not None else self.baseline(), units, self.graph(extra), kernel, FLOW)
 
     def sensitivity(self, source, target, mode: str = "combine", **how) -> DataFrame:
         """(src_label, dst_label, link_id, direction, less) and the pattern."""
@@ -134,7 +142,7 @@ class Analysis:
             a, b, s, t = unit
             return [(a, b, float(_nearest(g, nodes, edges, s, t)[0]))]
 
-        return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.network.graph(), kernel, PATTERNS + ", src_label string, dst_label string, cost double")
+        return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.graph(), kernel, PATTERNS + ", src_label string, dst_label string, cost double")
 
     def shortest_paths(self, source, target, mode: str = "combine", split_parallel_edges: bool = False, patterns: DataFrame | None = None) -> DataFrame:
         """All cheapest paths between groups, in order of nodes."""
@@ -148,7 +156,7 @@ class Analysis:
                 out |= {tuple(p) for p in kn.dag_paths(g, pred, x, y, split_parallel_edges)}
             return [(a, b, float(best), _hops(g, p)) for p in sorted(out)]
 
-        return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.network.graph(), kernel, PATHS)
+        return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.graph(), kernel, PATHS)
 
     def k_shortest_paths(self, source, target, k: int = 3, mode: str = "pairwise", most_cost: float = math.inf, factor: float | None = None, patterns: DataFrame | None = None) -> DataFrame:
         """Up to k loop-free paths between the nearest two nodes of each pair of groups."""
@@ -161,7 +169,7 @@ class Analysis:
             x, y = ends[0]
             return [(a, b, float(c), _hops(g, p)) for c, p in kn.k_shortest(g, x, y, nodes, edges, k, most_cost, factor)]
 
-        return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.network.graph(), kernel, PATHS)
+        return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.graph(), kernel, PATHS)
 
     def place(self, demands: Sequence[Mapping], alpha: float = 1.0, patterns: DataFrame | None = None, details: bool = True) -> DataFrame:
         """Places demands by priority on shared capacity, for each pattern on its own.
@@ -181,7 +189,7 @@ class Analysis:
                 out.append((d["demand_id"], d["src"], d["dst"], d["priority"], d["volume"] * alpha, placed, costs, used, alpha))
             return out
 
-        return self._over(patterns if patterns is not None else self.baseline(), units, self.network.graph(extra), kernel, PLACED + ", alpha double")
+        return self._over(patterns if patterns is not None else self.baseline(), units, self.graph(extra), kernel, PLACED + ", alpha double")
 
     def maximum_supported_demand(self, demands: Sequence[Mapping], alpha_start: float = 1.0, growth: float = 2.0, alpha_min: float = 1e-6, alpha_max: float = 1e9, resolution: float = 0.01, max_bracket: int = 32, max_bisect: int = 32, width: int = 8) -> float:
         """The largest factor at which all demands are placed whole.

@@ -72,6 +72,14 @@ def cost_power(scenario, s):
     return {"data": {"levels": levels, "context": {"aggregation_level": int(s.get("aggregation_level", 2))}}}
 
 
+def _analysis(scenario, s) -> Analysis:
+    """parallelism says into how many tasks the work is cut; 'auto' is as many as there are cores."""
+    n = s.get("parallelism", "auto")
+    if n != "auto" and (not isinstance(n, int) or n < 1):
+        raise ValueError(f"step {s['name']}: parallelism must be auto or a positive number")
+    return Analysis(scenario.network, None if n == "auto" else n)
+
+
 def _patterns(scenario, s, a: Analysis):
     name = s.get("failure_policy")
     if name and name not in scenario.policies:
@@ -102,7 +110,7 @@ def _costs(r) -> dict:
 
 @step("MaxFlow")
 def max_flow(scenario, s):
-    a = Analysis(scenario.network)
+    a = _analysis(scenario, s)
     rows = a.max_flow(s["source"], s["target"], s.get("mode", "combine"), s.get("shortest_path", False), s.get("require_capacity", True), s.get("flow_placement", "PROPORTIONAL"), _patterns(scenario, s, a), s.get("include_min_cut", False)).collect()
     entry = lambda r: {"source": r.src_label, "destination": r.dst_label, "priority": 0, "demand": r.total_flow, "placed": r.total_flow, "dropped": 0.0, "cost_distribution": _costs(r) if s.get("include_flow_details") else {}, "data": {"edges": [f"{x.link_id}:{x.direction}" for x in r.saturated], "edges_kind": "min_cut"} if s.get("include_min_cut") else {}}
     base, results = _results(rows, entry)
@@ -111,7 +119,7 @@ def max_flow(scenario, s):
 
 @step("TrafficMatrixPlacement")
 def traffic_matrix_placement(scenario, s):
-    a = Analysis(scenario.network)
+    a = _analysis(scenario, s)
     alpha = float(s.get("alpha", 1.0))
     if s.get("alpha_from_step"):
         at = scenario.results["steps"].get(s["alpha_from_step"])

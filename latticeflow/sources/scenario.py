@@ -27,11 +27,35 @@ LINK_RULE = {"source", "target", "link_match", "bidirectional", "capacity", "cos
 DEMAND = {"id", "source", "target", "volume", "priority", "mode", "group_mode", "flow_policy", "attrs", "expand"}
 
 
+#: What kind of value a key takes, wherever it stands.
+KINDS = {
+    "number": {"capacity", "cost", "volume", "weight", "probability"},
+    "whole number": {"count", "priority"},
+    "truth value": {"disabled", "bidirectional", "active_only"},
+    "list": {"risk_groups", "conditions", "children"},
+    "mapping": {"attrs", "params", "nodes", "link_match", "expand"},
+    "text": {"pattern", "template", "blueprint", "group_mode", "logic"},
+}
+TESTS = {
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "whole number": lambda v: isinstance(v, int) and not isinstance(v, bool),
+    "truth value": lambda v: isinstance(v, bool),
+    "list": lambda v: isinstance(v, list),
+    "mapping": lambda v: isinstance(v, Mapping),
+    "text": lambda v: isinstance(v, str),
+}
+
+
 def keys(part: Mapping, allowed: set[str], where: str) -> None:
     if not isinstance(part, Mapping):
         raise ValueError(f"{where} must be a mapping")
     if extra := set(part) - allowed:
         raise ValueError(f"{where}: unknown keys {sorted(map(str, extra))}")
+    for kind, names in KINDS.items():
+        for k in names & set(part):
+            v = part[k]
+            if v is not None and not TESTS[kind](v) and not (isinstance(v, str) and v.startswith("$")):
+                raise ValueError(f"{where}: {k} must be a {kind}, not {v!r}")
 
 
 def text_keys(value):
