@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ BYTE_PENALTY = 2.0  # a byte spelt out costs so much more than the best piece
 KNOWN_WORDS = 400_000
 UNIT = 1 << 20  # whole costs for a score of 1
 LONG_WORD = 256  # longer words are not kept
+TOGETHER = 1024  # documents whose new words are solved together
 MANY = 40  # words up to this length are solved together
 HASH = 0x9E3779B97F4A7C15
 
@@ -103,7 +105,7 @@ class Segmenter:
         by_length: dict[int, list[str]] = {}
         compound = []
         for w in words:
-            parts = self.split.split(w)
+            parts = [w] if w[1:].isalpha() else self.split.split(w)
             if len(parts) > 1 and len(w) <= LONG_WORD:
                 compound.append((w, parts))
             for x in parts:
@@ -165,8 +167,8 @@ class Segmenter:
             node[on] = back[node[on], on]
         spelt = (taken < 0) & (taken > -(1 << 40))
         plain, size = ~spelt.any(axis=0), (taken > -(1 << 40)).sum(axis=0)
-        for j, (w, c, gap, m, ok) in enumerate(zip(words, first[n].tolist(), (second[n] - first[n]).tolist(), size.tolist(), plain.tolist(), strict=True)):
-            ids = taken[:m, j][::-1].tolist()
+        for w, c, gap, m, ok, row in zip(words, first[n].tolist(), (second[n] - first[n]).tolist(), size.tolist(), plain.tolist(), taken.T.tolist(), strict=True):
+            ids = row[m - 1 :: -1]
             self.parts[w] = self.known[w] = (c, gap, tuple(ids) if ok else tuple(x for i in ids for x in ((i,) if i >= 0 else self.spelt(chr(-1 - i)))))
 
     def spelt(self, piece: str) -> tuple[int, ...]:
@@ -227,21 +229,20 @@ class Segmenter:
         first, _, _, into = self.forward(word)
         out: list[tuple[int, tuple[int, ...]]] = []
         queue = [(first[-1], 0, (), len(word), 0)]
-        while queue:
-            f, size, ids, at, done = heapq.heappop(queue)
-            if len(out) >= self.n_best and f > out[self.n_best - 1][0]:
-                break
+        taken = [0] * (len(word) + 1)
+        while queue and len(out) < self.n_best:
+            _, size, ids, at, done = heapq.heappop(queue)
+            taken[at] += 1
+            if taken[at] > self.n_best:  # no more than n paths through a node can be among the n best
+                continue
             if at == 0:
                 out.append((done, ids))
-                if len(out) >= 4 * self.n_best:  # so many equal costs
-                    break
                 continue
             for a, c in into[at]:
                 piece = self.spelt(word[a:at])
                 heapq.heappush(queue, (first[a] + c + done, size + len(piece), piece + ids, a, c + done))
         best = self.word(word)
-        out = [(best[0], best[2])] + sorted((x for x in out if x[1] != best[2]), key=lambda x: (x[0], len(x[1]), x[1]))
-        out = out[: self.n_best]
+        out = ([(best[0], best[2])] + [x for x in out if x[1] != best[2]])[: self.n_best]
         if len(word) <= LONG_WORD:
             if len(self.paths) >= KNOWN_WORDS // 10:
                 self.paths.clear()
@@ -280,12 +281,14 @@ class Segmenter:
             result.append((-c / UNIT, ids))
         return result
 
-    def scores_of(self, text: str | None) -> tuple[list[float], list[int]]:
-        """The best segmentations' scores, and the ids of the best alone."""
-        words, get, one = self.words(text or ""), self.known.get, self.word
+    def scores_of(self, words: list[str]) -> tuple[list[float], list[int]]:
+        """The best segmentations' scores, and the ids of the best alone, from a text's words."""
         if not words:
             return [0.0], []
-        cost, gap, ids = zip(*[get(w) or one(w) for w in words], strict=True)
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [x or self.word(w) for x, w in zip(found, words, strict=True)]
+        cost, gap, ids = zip(*found, strict=True)
         costs, gaps = [sum(cost)], list(gap)
         for _ in range(min(self.n_best - 1, len(words))):
             k = gaps.index(min(gaps))
@@ -327,14 +330,15 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
 
         seg = segmenter(model, n_best)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, len(batch), TOGETHER):
+                part = batch.slice(lo, TOGETHER)
                 cols = [[] for _ in range(6)]
-                new = {w for t in part.column(1).to_pylist() if t for w in seg.words(t)}
-                seg.learn([w for w in new if w not in seg.known])
-                for t in part.column(1).to_pylist():
-                    scores, first = seg.scores_of(t)
-                    for c, x in zip(cols, (len(first), scores[0], scores, seg.decode(first) == (t or "").replace(MARK, " "), hashlib.sha256(np.array(first, dtype="<i4").tobytes()).hexdigest(), first), strict=True):
+                texts = part.column(1).to_pylist()
+                split = [seg.words(t or "") for t in texts]
+                seg.learn(list(set().union(*split).difference(seg.known)))
+                for t, words in zip(texts, split, strict=True):
+                    scores, first = seg.scores_of(words)
+                    for c, x in zip(cols, (len(first), scores[0], scores, seg.decode(first) == (t or "").replace(MARK, " "), hashlib.sha256(array("i", first)).hexdigest(), first), strict=True):
                         c.append(x)
                 types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.string(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))][: len(names)], names=names)
