@@ -7,6 +7,9 @@
    their sketches but for a chance below 1e-10.  Values are ordered by how many sketches hold them;
    two sketches with that overlap share one of their rarest k - overlap + 1 values, so only those
    generate candidates, and values that very many documents hold hardly ever do.
+   Of those candidates the full sets' rarest shingles make new lists by the same rule, without
+   chance: a document that differs from all others in too many shingles drops out, as do all but
+   a few lists of a crowd that shares most of its text.
 3. A list is never turned into all its pairs.  In each round a few pivots of a list meet the
    list's members outside their own component; a pivot that has met all is done.  A list whose
    members lie in one component is finished.  The rounds end when all lists are finished, so no
@@ -31,7 +34,7 @@ from .common import U64, WindowHash, as_bytes, cut, mix, word_hashes
 from .components import components
 
 SHINGLE, K, MISS = 5, 48, 1e-10
-BLOCK = 256  # partners that meet one copy of a pivot's text
+BLOCK, FAMILY, KEPT_SETS = 4096, 16_384, 1024  # partners of a pivot and pairs of a family in a block; sets kept there
 SMALL, PIVOTS = 32, 64  # lists up to SMALL close in the second round; larger ones take PIVOTS each
 
 
@@ -91,24 +94,60 @@ def rare_lists(reps: DataFrame, overlap: int, num: int) -> DataFrame:
     return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc")
 
 
+def exact_lists(texts: DataFrame, num: int, size: int) -> DataFrame:
+    """(v, doc): lists of the candidates' rarest shingles, from their full sets.
+
+    A link needs num % of a set in common, so linked sets share one of their rarest 100 - num %.
+    Shingles of one candidate alone are the rarest and meet nothing; a document with enough of them
+    has no link, however much it shares with a crowd of others.
+    """
+    kind = texts.schema["doc"].dataType.simpleString()
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                sets = [shingle_set(t, size).view(np.int64) for t in as_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "n", "vs"])
+
+    each = texts.select("doc", "text").mapInArrow(work, f"doc {kind}, n int, vs array<long>").select("doc", "n", F.explode("vs").alias("v"))
+    often = cut(each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    shared = each.join(often, "v").groupBy("doc").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    slots = F.size("vs") - F.ceil(F.col("n") * num / 100).cast("int") + 1
+    rare = cut(shared.filter(slots > 0).select("doc", F.explode(F.slice("vs", F.lit(1), slots)).alias("x")).select("doc", F.col("x.v").alias("v")), "lists")
+    return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, num: int, size: int) -> DataFrame:
-    """The pairs (p, x) whose full sets satisfy 100 * intersection >= num * union."""
-    n = pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    pairs = pairs.join(n, "p").select("p", "x", F.pmod(F.hash("x"), F.col("salts")).alias("salt"))
-    pivots = pairs.select("p", "salt").distinct().join(texts.select(F.col("doc").alias("p"), "text"), "p")
-    rows = pivots.select("p", "salt", F.lit(None).cast(pairs.schema["x"].dataType).alias("x"), "text")
-    rows = rows.unionByName(pairs.join(texts.select(F.col("doc").alias("x"), "text"), "x").select("p", "salt", "x", "text"))
-    rows = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x").asc_nulls_first())
+    """The pairs (p, x) whose full sets satisfy 100 * intersection >= num * union.
+
+    Pairs of one family (the largest component of a list they share) are dealt out together, in
+    blocks of bounded size, so that a block makes the set of a text once.
+    """
+    many = pairs.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("fs"))
+    each = pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps"))
+    salt = F.pmod(F.hash("p"), F.col("fs")) * 65_536 + F.pmod(F.hash("x"), F.col("ps"))
+    pairs = pairs.join(cut(many, "many"), "family").join(cut(each, "many"), "p").select("family", salt.alias("salt"), "p", "x")
+    pivots = pairs.select("family", "salt", "p").distinct().join(texts.select(F.col("doc").alias("p"), "text"), "p")
+    rows = pivots.select("family", "salt", "p", F.lit(None).cast(pairs.schema["x"].dataType).alias("x"), "text")
+    rows = rows.unionByName(pairs.join(texts.select(F.col("doc").alias("x"), "text"), "x").select("family", "salt", "p", "x", "text"))
+    rows = rows.repartition("family", "salt").sortWithinPartitions("family", "salt", "p", F.col("x").asc_nulls_first())
     kind = pairs.schema["p"].dataType.simpleString()
 
     def work(batches):
         import pyarrow as pa
 
-        at, mine = None, None
+        at, mine, sets = None, None, {}
         for batch in batches:
             ps, xs = [], []
-            for p, x, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(3)), strict=True):
-                s = shingle_set(t, size)
+            for p, x, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), as_bytes(batch.column(4)), strict=True):
+                doc = p if x is None else x
+                if (s := sets.get(doc)) is None:
+                    if len(sets) >= KEPT_SETS:
+                        sets.clear()
+                    s = sets[doc] = shingle_set(t, size)
                 if x is None:
                     at, mine = p, s
                     continue
@@ -117,7 +156,7 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int, size: int) -> DataFrame
                 if both and 100 * both >= num * (len(mine) + len(s) - both):
                     ps.append(p)
                     xs.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ps, batch.column(0).type), pa.array(xs, batch.column(0).type)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ps, batch.column(2).type), pa.array(xs, batch.column(2).type)], names=["a", "b"])
 
     return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
@@ -128,6 +167,8 @@ def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int) -> Dat
     lists = cut(rare_lists(reps, overlap, num), "lists")
     members = lists.select("doc").distinct()
     texts = cut(docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
+    lists = cut(exact_lists(texts, num, size), "lists")
+    members = lists.select("doc").distinct()
     known = cut(reps.join(members, "doc", "left_semi").select("doc", "n", "sketch"), "sketches")
     state = lists.withColumn("comp", F.col("doc")).withColumn("met", F.lit(False))
     found = label = None
@@ -146,13 +187,14 @@ def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int) -> Dat
         pairs = here.join(pivots, "v").filter("comp <> pc and p <> doc")
         # Two pivots of a small list would meet twice.
         swap = (F.col("m") <= SMALL) & (F.col("doc") < F.col("p"))
-        pairs = pairs.select(F.when(swap, F.col("doc")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("doc")).alias("x")).distinct()
+        pairs = pairs.select(F.when(swap, F.col("doc")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("doc")).alias("x"), "main")
+        pairs = pairs.groupBy("p", "x").agg(F.min("main").alias("family"))
         mine = known.select(F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
         pairs = pairs.join(known.select(F.col("doc").alias("x"), "n", "sketch"), "x").join(mine, "p")
         pairs = pairs.filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * num)
         union = F.slice(F.array_sort(F.array_union("ps", "sketch")), 1, k)
         shared = F.size(F.array_intersect(union, F.array_intersect("ps", "sketch")))
-        pairs = cut(pairs.filter(shared >= _needed(F.least(F.size("ps"), F.size("sketch")), overlap, num)).select("p", "x"), "pairs")
+        pairs = cut(pairs.filter(shared >= _needed(F.least(F.size("ps"), F.size("sketch")), overlap, num)).select("p", "x", "family"), "pairs")
         new = cut(verify(pairs, texts, num, size), "found")
         if new.limit(1).count():
             found = new if found is None else found.unionByName(new)
