@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 2.0  # a byte spelt out costs so much more than the best piece
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000
 UNIT = 1 << 20  # whole costs for a score of 1
 LONG_WORD = 256  # longer words are not kept
 TOGETHER = 1024  # documents whose new words are solved together
