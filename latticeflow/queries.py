@@ -228,7 +228,7 @@ def rg_descendants(spark, sf):
 @query("""select * from (with recursive m as (select 'c' || o_custkey entity, 'g' || (o_orderkey % 997) as g from orders where o_orderkey % 7 = 0 and o_custkey % 5 = 0),
  r(entity) as (select min(entity) from m union select b.entity from r join m a on a.entity = r.entity join m b on b.g = a.g) select entity from r)""")
 def shared_risk(spark, sf):
-    m = read(spark, sf, "orders").filter("o_orderkey % 7 = 0 and o_custkey % 5 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("entity"), F.concat(F.lit("g"), F.col("o_orderkey") % 997).alias("group")).distinct()
+    m = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("entity"), F.concat(F.lit("g"), F.col("o_orderkey") % 997).alias("group")).distinct()
     first = m.agg(F.min("entity").alias("e")).first().e
     return fl.shared_risk(m, [first] if first else [])
 
