@@ -7,12 +7,17 @@ of at least ``revisit_bytes``, the one with the largest id is stored and the oth
 records without a body.  Spark's text writer stores the records, a record's closing blank lines as
 its line separator, so archives can lie in any store that Spark reaches; whole files are gzipped.
 
+A record's id holds the page's id, the payload's digest and the number of the row among those that
+have both in common, so that every row has its own, and a revisit can name the record it means.
+
 Reading.  Each archive is parsed by its Content-Length fields.  Records in one piece are finished at
 once; pieces of segmented ones are grouped by origin, ordered by number and checked against the
 total length.  Then the chunked framing is decoded, and revisits take length and digest from the
 record they name.
 
-Defined results: null payloads are empty responses; repeated ids give repeated records; an origin
+Defined results: null payloads are empty responses; repeated ids give repeated records, each a response
+or revisit by its own payload; a row without an id is never what a revisit names, is itself a revisit
+if a row with an id has its payload, and else a response, and comes back without an id; an origin
 with missing pieces, a wrong total or broken framing comes back with ``error`` set and no payload;
 extra columns are ignored; an empty table gives an empty archive and an empty result.
 """
@@ -21,10 +26,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import cut, scratch_dir
 
 CRLF = b"\r\n"
 SEGMENT_BYTES = 16_384
@@ -71,8 +76,8 @@ def http_payload(block: bytes) -> bytes:
     return unchunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
 
 
-def record_uri(page_id: int, row: str, segment: int = 1) -> str:
-    return f"<urn:page:{page_id}:{row}:{segment}>"
+def record_uri(page_id: int | None, row: str, segment: int = 1) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}:{segment}>"
 
 
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -84,18 +89,20 @@ def _clean(uri: str | None) -> str:
     return "".join(c for c in uri or "" if c >= " " and c != "\x7f")
 
 
-def records_of(page_id: int, uri: str | None, payload: bytes, digest: str, refers_to: int | None, row: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
+def records_of(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, row: int, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     """The records of one page, without their closing blank lines."""
-    common = [("WARC-Target-URI", _clean(uri)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", str(page_id))]
-    me = record_uri(page_id, row)
+    common = [("WARC-Target-URI", _clean(uri)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if page_id is not None:
+        common.append(("X-Page-ID", str(page_id)))
+    me = record_uri(page_id, f"{digest}.{row}")
     if refers_to is not None:
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_uri(refers_to, "0"))], b"")]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_uri(refers_to, f"{digest}.0"))], b"")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment_bytes:
         return [_record([("WARC-Type", "response"), ("WARC-Record-ID", me), *common, ("Content-Type", "application/http; msgtype=response")], block)]
     out, last = [], (len(block) - 1) // segment_bytes
     for k in range(last + 1):
-        fields = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", record_uri(page_id, row, k + 1)), *common, ("WARC-Segment-Number", str(k + 1))]
+        fields = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", record_uri(page_id, f"{digest}.{row}", k + 1)), *common, ("WARC-Segment-Number", str(k + 1))]
         if k:
             fields.append(("WARC-Segment-Origin-ID", me))
         if k == last:
@@ -128,10 +135,19 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("large", F.octet_length("payload") >= revisit_bytes)
     # Only ids and digests are grouped; a group of copies is folded in each task first.
-    keeper = rows.filter("large").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-    ids = rows.filter("large").select("page_id", "digest")
-    revisits = ids.join(keeper, "digest").filter("page_id < keeper").select("page_id", F.col("keeper").alias("refers_to")).distinct()
-    rows = rows.drop("large").join(revisits, "page_id", "left").withColumn("row", F.lit("0"))
+    each = rows.groupBy("page_id", "digest", "large").agg(F.count("*").alias("n"))
+    keeper = each.filter("large").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.sum("n").alias("copies")).filter("copies > 1").select("digest", "keeper")
+    refers_to = F.when(F.col("large") & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))), F.col("keeper"))
+    marks = each.join(keeper, "digest", "left").select(F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), refers_to.alias("refers_to"), (F.col("n") > 1).alias("again"))
+    marks = cut(marks.filter("refers_to is not null or again"), "warc-marks")
+    met = rows.drop("large").join(marks, F.col("page_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest")), "left").drop("m_id", "m_digest")
+    number = F.lit(0)
+    if marks.filter("again").limit(1).count():
+        # Rows that are alone with their id and payload are spread by a key of their own.
+        alone = F.when(~F.coalesce("again", F.lit(False)), F.monotonically_increasing_id())
+        met = met.withColumn("alone", alone)
+        number = F.row_number().over(Window.partitionBy("page_id", "digest", "alone").orderBy("url")) - 1
+    rows = met.withColumn("row", number).drop("again", "alone")
     schema = "record binary"
 
     def frame(batches):
@@ -238,9 +254,9 @@ def reassemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 def resolve(pages: DataFrame) -> DataFrame:
     """Revisits take length and digest from the response they name; a missing one is an error."""
-    target = pages.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("t_bytes"), F.col("payload_digest").alias("t_digest"))
+    target = pages.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("t_bytes"), F.col("payload_digest").alias("t_digest"))
     here, away = pages.filter("record_type = 'response' or record_type is null"), pages.filter("record_type = 'revisit'")
-    met = away.join(target.distinct(), "refers_to", "left")
+    met = away.join(target.dropDuplicates(["refers_to_id"]), "refers_to_id", "left")
     met = met.withColumn("payload_bytes", F.col("t_bytes")).withColumn("payload_digest", F.col("t_digest"))
     met = met.withColumn("error", F.when(F.col("t_bytes").isNull(), F.lit("the record it revisits is missing")))
     return here.unionByName(met.select(here.columns))

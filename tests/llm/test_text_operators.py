@@ -344,6 +344,22 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_repeated_and_missing_ids(spark):
+    a, b, c, d = "a" * 40000, "b" * 40000, "c" * 2000, "d" * 3000
+    rows = [(1, "u1", a), (1, "u2", a), (1, "u3", b), (2, "u4", c), (2, "u5", d), (3, "u6", c), (4, "u7", "x"), (4, "u8", "x"), (None, "u9", b), (None, "v1", "n" * 30000), (None, "v2", "n" * 30000), (None, "v3", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc.read(spark, warc.write(pages)).cache()
+    assert records.select("record_id").distinct().count() == records.count()
+    got = {r.target_uri: r for r in warc.resolve(warc.reassemble(records)).collect()}
+    assert len(got) == len(rows) and all(r.error is None for r in got.values())
+    revisits = {"u4": 3, "u9": 1}
+    for i, url, html in rows:
+        r, data = got[url], (html or "").encode()
+        assert (r.page_id, r.payload_bytes, r.payload_digest) == (i, len(data), hashlib.sha1(data).hexdigest()), url
+        assert (r.record_type, r.refers_to) == (("revisit", revisits[url]) if url in revisits else ("response", None)), url
+    assert {r.refers_to_id for r in got.values() if r.refers_to_id} <= {r.record_id for r in got.values()}
+
+
 def test_chunked_framing():
     for data in (b"", b"x", b"ab" * 9000):
         assert warc.unchunked(warc.chunked(data, 100)) == data
