@@ -1,5 +1,7 @@
 """Registered queries over whole tables, against brute force on small ones."""
 
+from pyspark.sql import functions as F
+
 from latticeflow import queries
 
 
@@ -13,3 +15,9 @@ def test_shared_risk_reads_all_orders(spark, tmp_path):
         found |= more
     got = [r.entity for r in queries.Q["shared_risk"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(found) == ["c1", "c2", "c3"]
+
+
+def test_descendants_reach_all_of_part(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = [r.group for r in queries.Q["rg_descendants"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(f"g{k}" for k in range(2000))
