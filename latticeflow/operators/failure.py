@@ -263,8 +263,17 @@ def weighted_top_k(df: DataFrame, key: str, u: str, weight: str, k: int) -> Data
 
 
 def cumulative_weights(modes: DataFrame, order: str, weight: str) -> DataFrame:
-    """Running sums of weights, for picking a mode by a draw."""
-    return modes.withColumn("upto", F.sum(F.greatest(F.col(weight), F.lit(0))).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Running sums of weights, for picking a mode by a draw.
+
+    The sums run in two levels, over ranges of the order and within each, so that no task sees all rows.
+    """
+    n = int(modes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(modes.repartitionByRange(n, order).withColumn("_block", F.spark_partition_id()))
+    w = F.greatest(F.col(weight), F.lit(0))
+    before = F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("_block").agg(F.sum(w).alias("_sum")).select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(w).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(blocks), "_block").withColumn("upto", F.col("_before") + within).drop("_block", "_before")
 
 
 def is_plain(pattern: str) -> bool:

@@ -235,7 +235,7 @@ def shared_risk(spark, sf):
 
 @query("select p_partkey, cast(sum(greatest(p_size - 10, 0)) over (order by p_partkey) as bigint) upto from part where p_partkey <= 200")
 def mode_pick_cumulative(spark, sf):
-    p = read(spark, sf, "part").filter("p_partkey <= 200").select("p_partkey", (F.col("p_size") - 10).cast("long").alias("w"))
+    p = read(spark, sf, "part").select("p_partkey", (F.col("p_size") - 10).cast("long").alias("w"))
     return fl.cumulative_weights(p, "p_partkey", "w").select("p_partkey", "upto")
 
 

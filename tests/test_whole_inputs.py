@@ -1,5 +1,7 @@
 """Registered queries over whole tables, against brute force on small ones."""
 
+from itertools import accumulate
+
 from pyspark.sql import functions as F
 
 from latticeflow import queries
@@ -21,3 +23,11 @@ def test_descendants_reach_all_of_part(spark, tmp_path):
     spark.range(2000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     got = [r.group for r in queries.Q["rg_descendants"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(f"g{k}" for k in range(2000))
+
+
+def test_cumulative_weights_run_over_all_of_part(spark, tmp_path):
+    sizes = {k: (k * 37) % 50 + 1 for k in range(1000)}
+    spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = queries.Q["mode_pick_cumulative"](spark, str(tmp_path))
+    got = {r.p_partkey: r.upto for r in df.collect()}
+    assert got == dict(zip(sizes, accumulate(max(0, s - 10) for s in sizes.values()), strict=True))
