@@ -369,8 +369,8 @@ def explorer_breakdown(spark, sf):
  r(origin, node, c) as (select name, name, cast(0 as bigint) from nd where not disabled and region = 'ASIA' union select r.origin, e.dst, r.c + e.w from r join e on e.src = r.node where r.c + e.w <= 6) select * from r) group by 1, 2 having min(c) <= 6""", ND, LK, AL)
 def shortest_path_costs(spark, sf):
     nodes, links = nation_nodes(spark, sf), nation_links(spark, sf)
-    sources = select_nodes(nodes, "ASIA/").select("name")
-    return paths.shortest_costs(topology.active_edges(links, nodes), sources).filter("cost <= 6")
+    sources = nodes.filter("not disabled").select("name")
+    return paths.shortest_costs(topology.active_edges(links, nodes), sources)
 
 
 @query("""select 'ASIA' src_label, 'EUROPE' dst_label, (select sum(capacity) from al where source like 'ASIA/%' and target like 'EUROPE/%')

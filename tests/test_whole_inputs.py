@@ -31,3 +31,20 @@ def test_cumulative_weights_run_over_all_of_part(spark, tmp_path):
     df = queries.Q["mode_pick_cumulative"](spark, str(tmp_path))
     got = {r.p_partkey: r.upto for r in df.collect()}
     assert got == dict(zip(sizes, accumulate(max(0, s - 10) for s in sizes.values()), strict=True))
+
+
+def test_shortest_costs_of_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    nodes = [r.name for r in queries.nation_nodes(spark, sf).filter("not disabled").collect()]
+    cost = {(a, b): 0 if a == b else 10**6 for a in nodes for b in nodes}
+    for r in queries.nation_links(spark, sf).filter("not disabled").collect():
+        if r.source in nodes and r.target in nodes:
+            for e in ((r.source, r.target), (r.target, r.source)):
+                cost[e] = min(cost[e], int(r.cost))
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                cost[a, b] = min(cost[a, b], cost[a, k] + cost[k, b])
+    got = {(r.origin, r.node): r.cost for r in queries.Q["shortest_path_costs"](spark, sf).collect()}
+    assert got == {e: c for e, c in cost.items() if c < 10**6}
+    assert len({a for a, _ in got}) == len(nodes)
