@@ -6,6 +6,8 @@ spread over all tasks.  What comes back is a DataFrame.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -19,6 +21,7 @@ from ..operators import failure as fl
 from ..operators.select import select_nodes
 from . import kernels as kn
 
+ROWS = 4096  # that a task holds before it passes them on
 BASE = [("", [], [], 1, "")]
 PATTERNS = "failure_id string, excluded_nodes array<string>, excluded_links array<string>, occurrence_count long, trace string"
 FLOW = PATTERNS + ", src_label string, dst_label string, total_flow double, cost_distribution map<double,double>, saturated array<struct<link_id:string,direction:string,less:double>>"
@@ -94,7 +97,11 @@ class Analysis:
                     nodes, edges = g.masks([*off_n, *r.excluded_nodes], [*off_l, *r.excluded_links])
                     head = (r.failure_id, list(r.excluded_nodes), list(r.excluded_links), r.occurrence_count, r.trace)
                     head = head if schema.startswith(PATTERNS) else ()
-                    rows += [(*head, *x) for x in kernel(g, nodes, edges, units[r.unit])]
+                    for x in kernel(g, nodes, edges, units[r.unit]):
+                        rows.append((*head, *x))
+                        if len(rows) == ROWS:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
                 yield pd.DataFrame(rows, columns=columns)
 
         columns = [f.name for f in self.spark.createDataFrame([], schema).schema]
@@ -150,11 +157,10 @@ class Analysis:
         def kernel(g, nodes, edges, unit):
             a, b, s, t = unit
             best, ends = _nearest(g, nodes, edges, s, t)
-            out = set()
-            for x, y in ends:
+            for x, same in itertools.groupby(ends, lambda e: e[0]):
                 _, pred = kn.spf(g, x, nodes, edges)
-                out |= {tuple(p) for p in kn.dag_paths(g, pred, x, y, split_parallel_edges)}
-            return [(a, b, float(best), _hops(g, p)) for p in sorted(out)]
+                for p in heapq.merge(*(kn.dag_paths(g, pred, x, y, split_parallel_edges) for _, y in same)):
+                    yield a, b, float(best), _hops(g, p)
 
         return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.graph(), kernel, PATHS)
 

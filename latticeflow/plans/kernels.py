@@ -10,6 +10,7 @@ import heapq
 import itertools
 import math
 from collections import defaultdict, deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -226,25 +227,32 @@ def sensitivity(g: Graph, s: int, t: int, nodes, edges, **how) -> dict[int, floa
     return out
 
 
-def dag_paths(g: Graph, pred, s: int, t: int, split: bool = False, most: int = 10_000) -> list[list[tuple[int, tuple[int, ...]]]]:
-    """Paths as (node, edges onward); parallel edges stay together unless split."""
-    out = []
-
-    def walk(v: int, tail: list) -> None:
-        if len(out) >= most:
-            return
-        if v == s:
-            out.append(tail)
-            return
-        by_node = defaultdict(list)
-        for e in pred[v]:
-            by_node[g._src[e]].append(e)
-        for u in sorted(by_node):
-            for group in ([(e,) for e in sorted(by_node[u])] if split else [tuple(sorted(by_node[u]))]):
-                walk(u, [(u, group), *tail])
-
-    walk(t, [(t, ())])
-    return out
+def dag_paths(g: Graph, pred, s: int, t: int, split: bool = False) -> Iterator[tuple[tuple[int, tuple[int, ...]], ...]]:
+    """Yields all paths as (node, edges onward), in order; parallel edges stay together unless split."""
+    by_ends = defaultdict(list)
+    for e in _dag(g, pred, s, t)[0]:
+        by_ends[g._src[e], g._dst[e]].append(e)
+    onward = defaultdict(list)
+    for (u, v), es in by_ends.items():
+        onward[u] += [((e,), v) for e in es] if split else [(tuple(sorted(es)), v)]
+    for ways in onward.values():
+        ways.sort()
+    head, stack = [], [iter([((), s)])]
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if head:
+                head.pop()
+            continue
+        group, u = step
+        if stack[1:]:
+            head[-1] = (head[-1][0], group)
+        if u == t:
+            yield (*head, (t, ()))
+        else:
+            head.append((u, ()))
+            stack.append(iter(onward[u]))
 
 
 def k_shortest(g: Graph, s: int, t: int, nodes, edges, k: int, most_cost: float = math.inf, factor: float | None = None):

@@ -179,6 +179,19 @@ def test_paths(spark):
     assert a.k_shortest_paths("A", "Z").count() == 0
 
 
+def test_all_equal_cost_paths_are_listed(spark):
+    # 14 diamonds in a row: 2 ** 14 cheapest paths.
+    chain = ", ".join(f"N{i:02}>X{i:02}, N{i:02}>Y{i:02}, X{i:02}>N{i + 1:02}, Y{i:02}>N{i + 1:02}" for i in range(14))
+    rows = Analysis(net(spark, chain)).shortest_paths("N00", "N14").select(F.transform("hops", lambda h: h["node"]).alias("p")).collect()
+    got = [tuple(r.p) for r in rows]
+    assert got == sorted(set(got)) and len(got) == 2**14
+    g = graph("A>B 1, A>B 2, B>C 1, B>C 2, A>D 3, D>C 3")
+    _, pred = kn.spf(g, 0, *g.masks())
+    assert [[(g.names[u], len(es)) for u, es in p] for p in kn.dag_paths(g, pred, 0, 2)] == [[("A", 2), ("B", 2), ("C", 0)], [("A", 1), ("D", 1), ("C", 0)]]
+    split = list(kn.dag_paths(g, pred, 0, 2, True))
+    assert len(split) == 5 and split == sorted(split)
+
+
 def test_relational_paths_agree_with_kernels(spark):
     rnd = random.Random(9)
     names = [f"n{i}" for i in range(12)]
