@@ -13,8 +13,9 @@ with the sum of the best word scores as its exact heuristic.
 
 Defined results: null and empty texts have no pieces, score 0 and one (empty) segmentation; a text
 holding the word mark itself is read as a space there, as the model's own encoder does; equal
-scores are ordered by fewer pieces, then by ids, except that the best path is the one whose last
-pieces are longest.  Every input row gives one row, extra columns are
+scores of a word are ordered by fewer pieces, then by ids, except that the best path is the one whose
+last pieces are longest; of a text, by the words that leave their best path, the cheapest and then the
+first to do so before others.  Every input row gives one row, extra columns are
 ignored.
 """
 
@@ -260,48 +261,63 @@ class Segmenter:
             text = text.replace("\n", "\0\n\0")
         return [w for w in text.replace(MARK, "\0" + MARK).split("\0") if w]
 
-    def n_best_of(self, text: str | None) -> list[tuple[float, list[int]]]:
-        """The best segmentations of a whole text as (score, ids), best first."""
-        words, get, one = self.words(text or ""), self.known.get, self.word
-        parts = [get(w) or one(w) for w in words]
-        best = sum(p[0] for p in parts)
-        # A segmentation is a choice for each word and costs what the words' choices cost more.  The
-        # n - 1 words whose runner-up costs least hold all n best.
-        out: list[tuple[int, list[tuple[int, int]]]] = [(best, [])]
-        if self.n_best > 1:
-            for _, k in heapq.nsmallest(self.n_best - 1, ((p[1], k) for k, p in enumerate(parts))):
-                ways = self.word_paths(words[k])
-                out = heapq.nsmallest(self.n_best, ((c + w[0] - ways[0][0], [*pick, (k, j)] if j else pick) for c, pick in out for j, w in enumerate(ways)))
-        result = []
-        for c, pick in out:
-            at = dict(pick)
-            ids: list[int] = []
-            for k, p in enumerate(parts):
-                ids.extend(self.word_paths(words[k])[at[k]][1] if k in at else p[2])
-            result.append((-c / UNIT, ids))
-        return result
-
-    def scores_of(self, words: list[str]) -> tuple[list[float], list[int]]:
-        """The best segmentations' scores, and the ids of the best alone, from a text's words."""
+    def picks(self, words: list[str]) -> tuple[list[tuple[int, ...]], list[tuple[int, list[tuple[int, int]]]]]:
+        """The ids of each word's best path, and the best segmentations as (cost, [(word, its way)])
+        with the words that leave their best path, best first."""
         if not words:
-            return [0.0], []
+            return [], [(0, [])]
         found = list(map(self.known.get, words))
         if None in found:
             found = [x or self.word(w) for x, w in zip(found, words, strict=True)]
         cost, gap, ids = zip(*found, strict=True)
-        costs, gaps = [sum(cost)], list(gap)
+        # A segmentation is a choice for each word and costs what the words' choices cost more.  The
+        # n - 1 words whose runner-up costs least hold all n best.
+        out, gaps = [(sum(cost), [])], list(gap)
         for _ in range(min(self.n_best - 1, len(words))):
             k = gaps.index(min(gaps))
             gaps[k] = 1 << 61
             ways = self.word_paths(words[k])
-            costs = heapq.nsmallest(self.n_best, (c + w[0] - ways[0][0] for c in costs for w in ways))
-        return [-c / UNIT for c in costs], list(itertools.chain.from_iterable(ids))
+            out = heapq.nsmallest(self.n_best, ((c + w[0] - ways[0][0], [*pick, (k, j)] if j else pick) for c, pick in out for j, w in enumerate(ways)))
+        return ids, out
+
+    def ranks_of(self, words: list[str]) -> list[tuple[float, array, bool]]:
+        """The best segmentations as (score, ids, spelling), best first, from a text's words; spelling
+        says that the ids stand for the same bytes as the best path's."""
+        parts, picks = self.picks(words)
+        best = array("i", itertools.chain.from_iterable(parts))
+        result = []
+        for c, pick in picks:
+            ids, same = best, True
+            if pick:
+                ids, at = array("i"), 0
+                for k, j in sorted(pick):
+                    lo = sum(map(len, parts[:k]))
+                    hi, way = lo + len(parts[k]), self.word_paths(words[k])[j][1]
+                    same = same and self.bytes_of(way) == self.bytes_of(parts[k])
+                    ids += best[at:lo]
+                    ids.extend(way)
+                    at = hi
+                ids += best[at:]
+            result.append((-c / UNIT, ids, same))
+        return result
+
+    def n_best_of(self, text: str | None) -> list[tuple[float, list[int]]]:
+        """The best segmentations of a whole text as (score, ids), best first."""
+        return [(c, list(ids)) for c, ids, _ in self.ranks_of(self.words(text or ""))]
+
+    def scores_of(self, words: list[str]) -> tuple[list[float], list[int]]:
+        """The best segmentations' scores, and the ids of the best alone, from a text's words."""
+        parts, picks = self.picks(words)
+        return [-c / UNIT for c, _ in picks], list(itertools.chain.from_iterable(parts))
 
     def encode(self, text: str | None) -> list[int]:
         return [i for w in self.words(text or "") for i in self.word(w)[2]]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    def bytes_of(self, ids) -> bytes:
+        return b"".join(map(self.text_of.__getitem__, ids))
+
+    def decode(self, ids) -> str:
+        return self.bytes_of(ids).decode("utf-8", "surrogatepass")[1:]
 
 
 _READY: dict[tuple[str, int], Segmenter] = {}
@@ -315,13 +331,15 @@ def segmenter(model: str, n_best: int) -> Segmenter:
 
 
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, n_best: int = 4, ids: bool = True) -> DataFrame:
-    """(doc_id, n_pieces, score, scores, round_trip, ids_sha256[, ids]) for every document.
+    """(doc_id, n_pieces, score, scores, round_trip, ids_sha256, n_best_pieces, n_best_round_trip,
+    n_best_sha256[, ids, n_best_ids]) for every document.
 
-    scores lists the best paths' scores, at most n_best; round_trip says that decoding the ids gives
-    the text back (with the word mark as a space).
+    scores and the n_best columns list the best segmentations, at most n_best, best first; the other
+    columns are the best one's. round_trip says that decoding the ids gives the text back (with the
+    word mark as a space).
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "n_pieces", "score", "scores", "round_trip", "ids_sha256"] + ["ids"] * ids
+    names = ["doc_id", "n_pieces", "score", "scores", "round_trip", "ids_sha256", "n_best_pieces", "n_best_round_trip", "n_best_sha256"] + ["ids", "n_best_ids"] * ids
 
     def work(batches):
         import hashlib
@@ -332,18 +350,23 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
         for batch in batches:
             for lo in range(0, len(batch), TOGETHER):
                 part = batch.slice(lo, TOGETHER)
-                cols = [[] for _ in range(6)]
+                cols = [[] for _ in names[1:]]
                 texts = part.column(1).to_pylist()
                 split = [seg.words(t or "") for t in texts]
                 seg.learn(list(set().union(*split).difference(seg.known)))
                 for t, words in zip(texts, split, strict=True):
-                    scores, first = seg.scores_of(words)
-                    for c, x in zip(cols, (len(first), scores[0], scores, seg.decode(first) == (t or "").replace(MARK, " "), hashlib.sha256(array("i", first)).hexdigest(), first), strict=True):
+                    scores, ways, same = zip(*seg.ranks_of(words), strict=True)
+                    plain = (t or "").replace(MARK, " ")
+                    first = seg.decode(ways[0]) == plain
+                    # The same bytes as the best path's give the same text.
+                    trips = [first if alike else seg.decode(way) == plain for way, alike in zip(ways, same, strict=True)]
+                    sizes, hashes = list(map(len, ways)), [hashlib.sha256(way).hexdigest() for way in ways]
+                    for c, x in zip(cols, (sizes[0], scores[0], scores, first, hashes[0], sizes, trips, hashes, ways[0], ways), strict=False):
                         c.append(x)
-                types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.string(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))][: len(names)], names=names)
+                types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))[: len(cols)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    schema = f"doc_id {kind}, n_pieces long, score double, scores array<double>, round_trip boolean, ids_sha256 string" + ", ids array<int>" * ids
+    schema = f"doc_id {kind}, n_pieces long, score double, scores array<double>, round_trip boolean, ids_sha256 string, n_best_pieces array<long>, n_best_round_trip array<boolean>, n_best_sha256 array<string>" + ", ids array<int>, n_best_ids array<array<int>>" * ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
 
 

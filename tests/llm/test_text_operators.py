@@ -322,6 +322,24 @@ def test_sentencepiece_round_trip(spark, docs, texts):
     assert sentencepiece_nbest.encode(docs.limit(0)).count() == 0
 
 
+def test_sentencepiece_gives_every_segmentation(spark, docs, texts):
+    seg = sentencepiece_nbest.Segmenter(n_best=3)
+    short = {r.doc_id: r.asDict() for r in sentencepiece_nbest.encode(docs, n_best=3, ids=False).collect()}
+    more = 0
+    for r in sentencepiece_nbest.encode(docs, n_best=3).collect():
+        t, want = texts[r.doc_id] or "", seg.n_best_of(texts[r.doc_id])
+        assert r.scores == [c for c, _ in want] and r.n_best_ids == [i for _, i in want] and r.n_best_ids[0] == r.ids
+        assert len({tuple(i) for i in r.n_best_ids}) == len(want)
+        assert r.n_best_pieces == [len(i) for _, i in want]
+        assert r.n_best_round_trip == [seg.decode(i) == t.replace(sentencepiece_nbest.MARK, " ") for _, i in want]
+        assert r.n_best_sha256 == [hashlib.sha256(np.array(i, dtype="<i4").tobytes()).hexdigest() for _, i in want]
+        assert all(short[r.doc_id][c] == r[c] for c in short[r.doc_id])
+        more += len(want) > 1
+    assert more > 5
+    text = "ab hello cd"
+    assert [round(-s * sentencepiece_nbest.UNIT) for s, _ in seg.n_best_of(text)] == [c for c, _ in brute_best(seg, sentencepiece_nbest.MARK + text.replace(" ", sentencepiece_nbest.MARK), 3)]
+
+
 def test_warc_round_trip(spark):
     rnd = random.Random(5)
     long = "".join(rnd.choice("aé漢\r\n ") for _ in range(60000))
