@@ -7,15 +7,19 @@
    their sketches but for a chance below 1e-10.  Values are ordered by how many sketches hold them;
    two sketches with that overlap share one of their rarest k - overlap + 1 values, so only those
    generate candidates, and values that very many documents hold hardly ever do.
-   Of those candidates the full sets' rarest shingles make new lists by the same rule, without
-   chance: a document that differs from all others in too many shingles drops out, as do all but
-   a few lists of a crowd that shares most of its text.
+   Where lists are crowded, with copies of one text that are edited too much to be linked, their
+   members get longer sketches, and those sketches' lists take the crowded ones' place.  The needed
+   overlap is then close to a link's own (exact for sets that fit the sketch), and lists are split by
+   set size, so a document that differs from all others in too many shingles drops out.
 3. A list is never turned into all its pairs.  In each round a few pivots of a list meet the
    list's members outside their own component; a pivot that has met all is done.  A list whose
    members lie in one component is finished.  The rounds end when all lists are finished, so no
-   link between two components is lost.
-4. Candidates pass a size bound and the union sketch's estimate; exact Jaccard on full sets, from
-   whole texts, decides.  A pivot's text is sent once for each block of its partners.
+   link between two components is lost.  A pair of a crowd meets in its first common list alone.
+4. Candidates pass a size bound and the union sketch's estimate; exact Jaccard on full sets decides:
+   on sketches that hold whole sets, else on whole texts.  A document is sent once to each cell of
+   pairs that it has part in.
+
+The chance of a miss is MISS for a link that a sketch samples, and none for sets within a sketch.
 
 Defined results: null and empty texts, and texts without words, have an empty set and no links;
 with fewer words than a shingle the whole sequence is the one shingle; a row without an id has no
@@ -34,8 +38,9 @@ from .common import U64, WindowHash, as_bytes, cut, mix, word_hashes
 from .components import components
 
 SHINGLE, K, MISS = 5, 48, 1e-10
-BLOCK, FAMILY, KEPT_SETS = 4096, 16_384, 1024  # partners of a pivot and pairs of a family in a block; sets kept there
-SMALL, PIVOTS = 32, 64  # lists up to SMALL close in the second round; larger ones take PIVOTS each
+LONG, STEP = 384, 1.04  # values in the sketches of crowded lists' members; ratio of size classes
+CELL = 4_000_000  # shingles, over all pairs, that are compared in one place
+SMALL, PIVOTS = 32, 64  # lists up to SMALL close in the second round; larger ones take PIVOTS, then four times as many a round
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -82,25 +87,27 @@ def _needed(size, overlap: int, num: int):
     return F.least(F.lit(overlap), F.ceil(size * num / 100).cast("int"))
 
 
-def rare_lists(reps: DataFrame, overlap: int, num: int) -> DataFrame:
-    """(v, doc): the inverted lists of each sketch's rarest values, those with two members or more."""
-    each = reps.select("doc", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+def _rarest(each: DataFrame, carried: list[str]) -> DataFrame:
+    """(doc, *carried, vs): per document its values that others hold too, the rarest first.
+
+    Values of one document alone would come first of all and meet nothing.
+    """
     often = cut(each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")  # a join of two plain sides can be split
-    shared = each.join(often, "v").groupBy("doc").agg(F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    # Values of one sketch alone come first in the order and meet nothing.
-    slots = F.size("vs") - _needed(F.col("s"), overlap, num) + 1
-    rare = shared.filter(slots > 0).select("doc", F.explode(F.slice("vs", F.lit(1), slots)).alias("x")).select("doc", F.col("x.v").alias("v"))
-    rare = cut(rare, "lists")
-    return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc")
+    shared = each.join(often, "v").groupBy("doc").agg(*(F.first(c).alias(c) for c in carried), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    return shared.withColumn("vs", F.transform("vs", lambda x: x["v"]))
 
 
-def exact_lists(texts: DataFrame, num: int, size: int) -> DataFrame:
-    """(v, doc): lists of the candidates' rarest shingles, from their full sets.
+def rare_lists(reps: DataFrame, overlap: int, num: int) -> DataFrame:
+    """(v, doc, n, m): the inverted lists of each sketch's rarest values, those with two members or
+    more; m is a list's length."""
+    shared = _rarest(reps.select("doc", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v")), ["n", "s"])
+    slots = F.size("vs") - _needed(F.col("s"), overlap, num) + 1
+    rare = cut(shared.filter(slots > 0).select("doc", "n", F.explode(F.slice("vs", F.lit(1), slots)).alias("v")), "lists")
+    return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc", "n", "m")
 
-    A link needs num % of a set in common, so linked sets share one of their rarest 100 - num %.
-    Shingles of one candidate alone are the rarest and meet nothing; a document with enough of them
-    has no link, however much it shares with a crowd of others.
-    """
+
+def long_sketches(texts: DataFrame, k: int, size: int) -> DataFrame:
+    """(doc, n, vs): sketches of k values; a set of no more values is there as a whole."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def work(batches):
@@ -109,103 +116,169 @@ def exact_lists(texts: DataFrame, num: int, size: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                sets = [shingle_set(t, size).view(np.int64) for t in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "n", "vs"])
+                sets = [shingle_set(t, size) for t in as_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([(s[:k] >> U64(1)).astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "n", "vs"])
+
+    return texts.select("doc", "text").mapInArrow(work, f"doc {kind}, n long, vs array<long>")
 
-    each = texts.select("doc", "text").mapInArrow(work, f"doc {kind}, n int, vs array<long>").select("doc", "n", F.explode("vs").alias("v"))
-    often = cut(each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")
-    shared = each.join(often, "v").groupBy("doc").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    slots = F.size("vs") - F.ceil(F.col("n") * num / 100).cast("int") + 1
-    rare = cut(shared.filter(slots > 0).select("doc", F.explode(F.slice("vs", F.lit(1), slots)).alias("x")).select("doc", F.col("x.v").alias("v")), "lists")
-    return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc")
 
+def size_class(n):
+    """Sizes in steps of 4 %."""
+    return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
 
-def verify(pairs: DataFrame, texts: DataFrame, num: int, size: int) -> DataFrame:
-    """The pairs (p, x) whose full sets satisfy 100 * intersection >= num * union.
 
-    Pairs of one family (the largest component of a list they share) are dealt out together, in
-    blocks of bounded size, so that a block makes the set of a text once.
+def crowd_lists(sketched: DataFrame, overlap: int, num: int, k: int) -> DataFrame:
+    """(v, c, doc, n, idx, before): lists of long sketches' rarest values by size class.
+
+    A pair meets in the class c of its smaller set.  There the smaller one (idx) needs an overlap
+    with a set at least as large, the larger one an overlap with a set of that class; both are more
+    than a link to just any size takes, so fewer of the rarest values stand for a set.  ``before``
+    has the values that precede v, which tell whether a pair meets in an earlier list.
+    """
+    exact = lambda a, b: F.expr(f"({num} * ({a} + {b}) + {num + 99}) div {num + 100}")  # noqa: E731  the least o with 100 o >= num (a + b - o)
+    shared = _rarest(sketched.select("doc", "n", F.explode("vs").alias("v")), ["n"])
+    # A set whose partners all fit a sketch needs the exact overlap, others that of two samples.
+    as_small = F.when(F.col("n") * 100 <= k * num, exact("n", "n")).otherwise(F.least(exact("n", "n"), F.lit(overlap)))
+    least = F.expr(f"({num} * n + 99) div 100")
+    shared = shared.withColumn("mine", F.size("vs") - as_small + 1)
+    shared = shared.withColumn("own", size_class(F.col("n"))).withColumn("c", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
+    shared = shared.withColumn("low", F.greatest(least, F.floor(F.pow(F.lit(STEP), F.col("c")))).cast("long"))
+    as_large = F.when(F.col("n") > k, F.lit(overlap)).otherwise(exact("low", "n"))
+    slots = F.greatest(F.size("vs") - as_large + 1, F.when(F.col("c") == F.col("own"), F.col("mine")).otherwise(F.lit(0))).cast("int")
+    each = shared.withColumn("vs", F.slice("vs", F.lit(1), F.greatest(slots, F.lit(0)))).select("c", "doc", "n", "own", "mine", "vs", F.posexplode("vs").alias("at", "v"))
+    idx = (F.col("c") == F.col("own")) & (F.col("at") < F.col("mine"))
+    rare = cut(each.select("v", "c", "doc", "n", idx.alias("idx"), F.slice("vs", F.lit(1), F.col("at")).alias("before")), "lists")
+    live = rare.groupBy("v", "c").agg(F.count("*").alias("m"), F.max("idx").alias("any")).filter("m > 1 and any")
+    return rare.join(cut(live.select("v", "c"), "often"), ["v", "c"])
+
+
+def compare(pairs: DataFrame, data: DataFrame, num: int, limits: dict[bool, tuple[int, int]] | None, size: int) -> DataFrame:
+    """(p, x, family, pn, n, crowd, sure): the pairs that may be links (sure: that are).
+
+    With limits, data has sketches: (doc, crowd, n, vs), and limits their length and least overlap
+    by crowd; two whole sets decide, else the union's sketch estimates.  Without, data has (doc,
+    text), and full sets decide.  Pairs of one family (the largest component of a list that they
+    share) are dealt out by partner to cells of bounded weight; a cell gets each of its documents
+    once, before the pairs.
     """
-    many = pairs.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("fs"))
-    each = pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps"))
-    salt = F.pmod(F.hash("p"), F.col("fs")) * 65_536 + F.pmod(F.hash("x"), F.col("ps"))
-    pairs = pairs.join(cut(many, "many"), "family").join(cut(each, "many"), "p").select("family", salt.alias("salt"), "p", "x")
-    pivots = pairs.select("family", "salt", "p").distinct().join(texts.select(F.col("doc").alias("p"), "text"), "p")
-    rows = pivots.select("family", "salt", "p", F.lit(None).cast(pairs.schema["x"].dataType).alias("x"), "text")
-    rows = rows.unionByName(pairs.join(texts.select(F.col("doc").alias("x"), "text"), "x").select("family", "salt", "p", "x", "text"))
-    rows = rows.repartition("family", "salt").sortWithinPartitions("family", "salt", "p", F.col("x").asc_nulls_first())
-    kind = pairs.schema["p"].dataType.simpleString()
+    by = ["family", "crowd"]
+    many = pairs.groupBy(by).agg(F.ceil(F.sum(F.col("pn") + F.col("n")) / CELL).cast("int").alias("cells"))
+    pairs = pairs.join(cut(many, "many"), by).withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")).cast("int"))
+    ends = pairs.select(*by, "cell", F.col("p").alias("doc")).unionByName(pairs.select(*by, "cell", F.col("x").alias("doc"))).distinct()
+    kind = pairs.schema["p"].dataType
+    item = "vs" if limits else "text"
+    rows = ends.join(data, ["doc", "crowd"] if limits else ["doc"]).select(*by, "cell", F.col("doc").alias("p"), F.lit(None).cast(kind).alias("x"), F.lit(0).cast("long").alias("pn"), (F.col("n") if limits else F.lit(0).cast("long")).alias("n"), item)
+    rows = rows.unionByName(pairs.select(*by, "cell", "p", "x", "pn", "n", F.lit(None).cast(data.schema[item].dataType).alias(item)))
+    rows = rows.repartition(*by, "cell").sortWithinPartitions(*by, "cell", F.col("x").isNotNull(), "p", "x")
 
     def work(batches):
         import pyarrow as pa
 
-        at, mine, sets = None, None, {}
+        here, sets = None, {}
         for batch in batches:
-            ps, xs = [], []
-            for p, x, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), as_bytes(batch.column(4)), strict=True):
-                doc = p if x is None else x
-                if (s := sets.get(doc)) is None:
-                    if len(sets) >= KEPT_SETS:
-                        sets.clear()
-                    s = sets[doc] = shingle_set(t, size)
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            offsets = flat = texts = None
+            if limits:
+                offsets, flat = batch.column(7).offsets.to_numpy(), batch.column(7).values.to_numpy(zero_copy_only=False)
+            else:
+                texts = as_bytes(batch.column(7))
+            taken, sure = [], []
+            k, n = 0, len(batch)
+            while k < n:
+                family, crowd, cell, p, x, _, size_of = (c[k] for c in columns)
+                if (family, crowd, cell) != here:
+                    here, sets = (family, crowd, cell), {}
                 if x is None:
-                    at, mine = p, s
+                    sets[p] = (size_of, flat[offsets[k] : offsets[k + 1]].copy()) if limits else shingle_set(texts[k], size)
+                    k += 1
                     continue
-                assert at == p
-                both = len(np.intersect1d(mine, s, assume_unique=True))
-                if both and 100 * both >= num * (len(mine) + len(s) - both):
-                    ps.append(p)
-                    xs.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ps, batch.column(2).type), pa.array(xs, batch.column(2).type)], names=["a", "b"])
-
-    return rows.mapInArrow(work, f"a {kind}, b {kind}")
-
-
-def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int) -> DataFrame | None:
+                end = k + 1
+                while end < n and columns[3][end] == p and columns[4][end] is not None and (columns[0][end], columns[1][end], columns[2][end]) == here:
+                    end += 1
+                if limits:
+                    found = _estimate(sets[p], [sets[y] for y in columns[4][k:end]], num, *limits[crowd])
+                else:
+                    mine = sets[p]
+                    found = [1 if 100 * both >= num * (len(mine) + len(s) - both) and both else 0 for s in (sets[y] for y in columns[4][k:end]) for both in (len(np.intersect1d(mine, s, assume_unique=True)),)]
+                for at, f in enumerate(found, k):
+                    if f:
+                        taken.append(at)
+                        sure.append(f == 1)
+                k = end
+            at = pa.array(taken, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (3, 4, 0, 5, 6, 1)), pa.array(sure, pa.bool_())], names=["p", "x", "family", "pn", "n", "crowd", "sure"])
+
+    name = kind.simpleString()
+    return rows.mapInArrow(work, f"p {name}, x {name}, family {name}, pn long, n long, crowd boolean, sure boolean")
+
+
+def _estimate(mine: tuple[int, np.ndarray], others: list[tuple[int, np.ndarray]], num: int, k: int, overlap: int) -> list[int]:
+    """For each of the others 0 (no link), 1 (a link) or 2 (open)."""
+    n, a = mine
+    sizes = np.array([len(b) for _, b in others])
+    full = np.array([m for m, _ in others])
+    flat = np.concatenate([b for _, b in others])
+    hit = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    out = np.where(100 * both >= num * (n + full - both), 1, 0)
+    edge = np.cumsum(sizes)
+    for j in np.flatnonzero((full > k) | (n > k)):
+        if both[j] < overlap:
+            out[j] = 0
+            continue
+        b = others[j][1]
+        last = np.union1d(a, b)[:k][-1]
+        shared = int(np.count_nonzero(b[hit[edge[j] - len(b) : edge[j]]] <= last))
+        out[j] = 2 if shared >= overlap else 0
+    return out.tolist()
+
+
+def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int, long_k: int) -> DataFrame | None:
     """(node, label): components of the representatives under verified links; None without links."""
-    overlap = least_overlap(num / 100, k)
+    overlap, long_overlap = least_overlap(num / 100, k), least_overlap(num / 100, long_k)
     lists = cut(rare_lists(reps, overlap, num), "lists")
-    members = lists.select("doc").distinct()
-    texts = cut(docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
-    lists = cut(exact_lists(texts, num, size), "lists")
-    members = lists.select("doc").distinct()
-    known = cut(reps.join(members, "doc", "left_semi").select("doc", "n", "sketch"), "sketches")
-    state = lists.withColumn("comp", F.col("doc")).withColumn("met", F.lit(False))
+    members = lists.groupBy("doc").agg(F.max(F.col("m") > SMALL).alias("crowd"))
+    texts = cut(docs.join(members, docs["doc_id"] == members["doc"]).select("doc", "crowd", "text"), "texts")
+    known = reps.join(texts.select("doc"), "doc", "left_semi").select("doc", F.lit(False).alias("crowd"), "n", F.col("sketch").alias("vs"))
+    crowds = cut(long_sketches(texts.filter("crowd"), long_k, size), "sketches")
+    known = cut(known.unionByName(crowds.select("doc", F.lit(True).alias("crowd"), "n", "vs")), "sketches")
+    # A pair that meets in a crowded list has two long sketches, whose lists take that list's place.
+    plain = lists.filter(F.col("m") <= SMALL).select("v", F.lit(-1).alias("c"), "doc", "n", F.lit(True).alias("idx"), F.lit(None).cast("array<long>").alias("before"))
+    lists = plain.unionByName(crowd_lists(crowds, long_overlap, num, long_k))
+    state = cut(lists.withColumn("comp", F.col("doc")).withColumn("met", F.lit(False)), "state")
+    limits = {False: (k, overlap), True: (long_k, long_overlap)}
     found = label = None
     turn = 0
     while True:
         # Lists in one component are finished.  Else the members outside the list's largest
         # component must meet the rest; those that have not, in turn.
-        groups = state.groupBy("v", "comp").agg(F.count("*").alias("c"))
-        open_lists = groups.groupBy("v").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1")
-        here = cut(state.join(open_lists.select("v", "main", "m"), "v"), "open")
+        groups = state.groupBy("v", "c", "comp").agg(F.count("*").alias("w"))
+        open_lists = groups.groupBy("v", "c").agg(F.count("*").alias("comps"), F.sum("w").alias("m"), F.max_by("comp", F.struct("w", "comp")).alias("main")).filter("comps > 1")
+        here = state.join(cut(open_lists.select("v", "c", "main", "m"), "open"), ["v", "c"])
         waits = here.filter("not met" if turn == 0 else "not met and comp <> main")
-        spread = F.lit(0) if turn == 0 else F.when(F.col("m") <= SMALL, F.xxhash64("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)))
-        pivots = cut(waits.groupBy("v", spread.alias("spread")).agg(F.min_by(F.struct("doc", "comp"), "doc").alias("p")).select("v", F.col("p.doc").alias("p"), F.col("p.comp").alias("pc")), "pivots")
+        spread = F.lit(0) if turn == 0 else F.when(F.col("m") <= SMALL, F.xxhash64("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(PIVOTS << 2 * (turn - 1))))
+        first = F.min_by(F.struct("doc", "comp", "n", "idx", "before"), "doc")
+        pivots = waits.groupBy("v", "c", spread.alias("spread")).agg(first.alias("p"))
+        pivots = cut(pivots.select("v", "c", F.col("p.doc").alias("p"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.idx").alias("pidx"), F.col("p.before").alias("pbefore")), "pivots")
         if not pivots.limit(1).count():
             return label
-        pairs = here.join(pivots, "v").filter("comp <> pc and p <> doc")
-        # Two pivots of a small list would meet twice.
-        swap = (F.col("m") <= SMALL) & (F.col("doc") < F.col("p"))
-        pairs = pairs.select(F.when(swap, F.col("doc")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("doc")).alias("x"), "main")
-        pairs = pairs.groupBy("p", "x").agg(F.min("main").alias("family"))
-        mine = known.select(F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
-        pairs = pairs.join(known.select(F.col("doc").alias("x"), "n", "sketch"), "x").join(mine, "p")
-        pairs = pairs.filter(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * num)
-        union = F.slice(F.array_sort(F.array_union("ps", "sketch")), 1, k)
-        shared = F.size(F.array_intersect(union, F.array_intersect("ps", "sketch")))
-        pairs = cut(pairs.filter(shared >= _needed(F.least(F.size("ps"), F.size("sketch")), overlap, num)).select("p", "x", "family"), "pairs")
-        new = cut(verify(pairs, texts, num, size), "found")
+        # Two pivots of a list meet once.
+        here = cut(here.join(pivots.select("v", "c", F.col("p").alias("doc"), F.lit(True).alias("now")), ["v", "c", "doc"], "left").fillna(False, "now"), "open")
+        fits = "not (now and doc > p) and comp <> pc and p <> doc and (idx or pidx) and 100 * least(n, pn) >= %d * greatest(n, pn) and not coalesce(arrays_overlap(before, pbefore), false)" % num
+        pairs = here.join(pivots, ["v", "c"]).filter(fits)
+        pairs = pairs.select("p", "pn", F.col("doc").alias("x"), "n", (F.col("c") >= 0).alias("crowd"), "main")
+        pairs = cut(pairs.groupBy("p", "x").agg(F.first("pn").alias("pn"), F.first("n").alias("n"), F.max("crowd").alias("crowd"), F.min("main").alias("family")), "pairs")
+        likely = cut(compare(pairs, known, num, limits, size), "likely")
+        new = cut(likely.filter("sure").unionByName(compare(likely.filter("not sure").drop("sure"), texts.select("doc", "text"), num, None, size)).select(F.col("p").alias("a"), F.col("x").alias("b")), "found")
         if new.limit(1).count():
             found = new if found is None else found.unionByName(new)
             label = components(found)
-        state = here.drop("main", "m").join(pivots.select("v", F.col("p").alias("doc"), F.lit(True).alias("now")), ["v", "doc"], "left")
-        state = state.withColumn("label", F.col("comp")) if label is None else state.join(label.withColumnRenamed("node", "doc"), "doc", "left")
-        state = cut(state.select("v", "doc", F.coalesce("label", "comp").alias("comp"), (F.col("met") | F.coalesce("now", F.lit(False))).alias("met")), "state")
+        state = here.withColumn("label", F.col("comp")) if label is None else here.join(label.withColumnRenamed("node", "doc"), "doc", "left")
+        state = cut(state.select("v", "c", "doc", "n", "idx", "before", F.coalesce("label", "comp").alias("comp"), F.expr("met or now").alias("met")), "state")
         turn += 1
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80, size: int = SHINGLE, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 80, size: int = SHINGLE, k: int = K, long_k: int = LONG) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
     Documents with 100 * |A & B| >= num * |A | B| are linked; component_id is the smallest id that
@@ -216,7 +289,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = sk.filter("n > 0 and doc_id is not null")
     classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc")), "classes")
     reps = full.withColumnRenamed("doc_id", "doc").join(classes.select("doc"), "doc", "left_semi")
-    label = joined(docs, reps, num, size, k)
+    label = joined(docs, reps, num, size, k, long_k)
     ids = classes
     if label is not None:
         ids = classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("doc", F.coalesce("label", "doc"))
