@@ -1,22 +1,24 @@
 """N-best segmentation over a SentencePiece model's pieces, and exact decoding.
 
-The lattice of a text has an edge for every piece that matches, with the piece's score, and one for
-each character without a piece of its own, spelt in byte pieces.  A forward Viterbi pass gives each
-node the best score from the start.  A backward A* search then runs from the end of the text with
+The lattice of a text has an edge for every piece that matches, with the model's own score, and one
+for each character without a piece of its own, spelt in byte pieces; that one scores UNKNOWN_PENALTY
+below the model's least score (runs of word marks, which the model gives a placeholder score, left
+out).  Scores are whole numbers in the model, so sums and comparisons are exact.  A forward Viterbi pass
+gives each node the best score from the start.  A backward A* search then runs from the end with
 those scores as its heuristic; the heuristic is exact, so paths leave the queue best first.
 
 No piece has a word mark after another character (checked when the model is read), nor some signs
 after a letter, so every path passes there and the lattice of a text is a chain of small lattices,
-here called words.  Word
-results are kept in a bounded table; the best paths of the chain come from the same kind of search,
-with the sum of the best word scores as its exact heuristic.
+here called words.  The search runs in each word that can matter, and over the chain: of n best
+segmentations none leaves the best path in a word outside the n - 1 whose runner-up costs least.  Words'
+best paths are kept in a table of bounded bytes, which is emptied at the end of each task.
 
 Defined results: null and empty texts have no pieces, score 0 and one (empty) segmentation; a text
 holding the word mark itself is read as a space there, as the model's own encoder does; equal
 scores of a word are ordered by fewer pieces, then by ids, except that the best path is the one whose
-last pieces are longest; of a text, by the words that leave their best path, the cheapest and then the
-first to do so before others.  Every input row gives one row, extra columns are
-ignored.
+last pieces are longest; equal scores of a text come in the order in which the search meets them.
+Every input row gives one row, extra columns are ignored.  The best path is the one of the highest
+score; a model of kind BPE orders merges by score and can encode otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BYTE_PENALTY = 2.0  # a byte spelt out costs so much more than the best piece
-KNOWN_WORDS = 700_000
-UNIT = 1 << 20  # whole costs for a score of 1
+UNKNOWN_PENALTY = 10  # what a character without a piece scores below the least score
+TABLE_BYTES = 30_000_000  # of solved words; the words used before that are kept as long again
+WORD_BYTES = 270  # what a solved word takes besides its text
 LONG_WORD = 256  # longer words are not kept
 TOGETHER = 1024  # documents whose new words are solved together
 MANY = 40  # words up to this length are solved together
 HASH = 0x9E3779B97F4A7C15
+SLOTS = 1 << 20
 
 
 class Segmenter:
@@ -65,30 +67,63 @@ class Segmenter:
                 self.text_of[i] = piece.replace(MARK, " ").encode()
         if len(self.byte_id) != 256:
             raise ValueError("the model has no full set of byte pieces")
-        # Whole-number costs make the search exact: a constant for each piece, its score below that.
-        low = min(score.values())
-        self.cost = {i: round((1.0 - s / (1.0 - low)) * UNIT) for i, s in score.items()}
-        self.byte_cost = round((BYTE_PENALTY + 1.0) * UNIT)
-        # Each piece, and each beginning of one (0): a walk ends as soon as no piece can match.
-        self.walk: dict[str, int] = {p[:k]: 0 for p in self.id_of for k in range(1, len(p))}
+        if any(s > 0 or s != int(s) for s in score.values()):
+            raise ValueError("the model's scores are not whole numbers up to 0")
+        self.cost = {i: -int(s) for i, s in score.items()}
+        self.unknown_cost = UNKNOWN_PENALTY + max(self.cost[i] for p, i in self.id_of.items() if p.strip(MARK))
+        # Each piece's cost, and -1 for each beginning of one: a walk ends as soon as no piece can match.
+        self.walk: dict[str, int] = {p[:k]: -1 for p in self.id_of for k in range(1, len(p))}
         self.walk |= {p: self.cost[i] for p, i in self.id_of.items()}
-        self.known: dict[str, tuple[int, int, tuple[int, ...]]] = {}
-        self.parts: dict[str, tuple[int, int, tuple[int, ...]] | None] = {}
-        self.paths: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
         self.longest = max(map(len, self.id_of))
         self.line_is_alone = not any("\n" in p for p in self.id_of)
         self.split = self.safe_split()
+        self.forget()
+        # The same for many words at once: an open hash table over the beginnings' hashes.
         hashes = {}
         for piece, c in self.walk.items():
             h = 0
             for ch in piece:
                 h = (h * HASH + ord(ch) + 1) & ((1 << 64) - 1)
             hashes[h] = (c, self.id_of.get(piece, -1))
-        if len(hashes) < len(self.walk):
+        if len(hashes) < len(self.walk) or 0 in hashes:
             raise ValueError("two beginnings of pieces share a hash")
-        self.keys = np.array(sorted(hashes), dtype=np.uint64)
-        self.key_cost = np.array([hashes[h][0] for h in sorted(hashes)], dtype=np.int64)
-        self.key_id = np.array([hashes[h][1] for h in sorted(hashes)], dtype=np.int64)
+        self.keys, self.key_cost, self.key_id = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int64), np.full(SLOTS, -1, dtype=np.int64)
+        left = np.array(list(hashes), dtype=np.uint64)
+        slot = self.slot_of(left)
+        while len(left):
+            free, first = np.unique(slot, return_index=True)
+            first = first[self.keys[free] == 0]
+            self.keys[slot[first]] = left[first]
+            self.key_cost[slot[first]] = [hashes[int(h)][0] for h in left[first]]
+            self.key_id[slot[first]] = [hashes[int(h)][1] for h in left[first]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, slot = left[rest], (slot[rest] + 1) % SLOTS
+
+    def forget(self) -> None:
+        """Empties the tables of words."""
+        self.known: dict[str, tuple[int, int, bytes]] = {}
+        self.before: dict[str, tuple[int, int, bytes]] = {}
+        self.paths: dict[str, list[tuple[int, bytes]]] = {}
+        self.held = 0
+
+    @staticmethod
+    def slot_of(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(HASH) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where no piece begins so."""
+        slot = self.slot_of(h)
+        key = self.keys[slot]
+        out = np.where(key == h, slot, -1)
+        open_at = np.flatnonzero((key != h) & (key != 0))
+        while len(open_at):
+            slot[open_at] = (slot[open_at] + 1) % SLOTS
+            key = self.keys[slot[open_at]]
+            hit = key == h[open_at]
+            out[open_at[hit]] = slot[open_at[hit]]
+            open_at = open_at[~hit & (key != 0)]
+        return out
 
     def safe_split(self) -> re.Pattern:
         """Where every path must pass: before word marks, and between a letter and such a sign as
@@ -98,31 +133,47 @@ class Segmenter:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id_of))  # spelt in bytes
         return re.compile(f"(?<=[^{MARK}])(?={MARK})" + (f"|(?<=[{alone}])" if alone else "") + (f"|(?<=[^\\W\\d_])(?=[{re.escape(signs)}])" if signs else ""))
 
-    def learn(self, words: list[str]) -> None:
-        """Solves many new words at once: the words of one length advance together through Viterbi."""
-        if max(len(self.known), len(self.parts)) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-            self.parts.clear()
+    def keep(self, word: str, found: tuple[int, int, bytes]) -> None:
+        self.known[word] = found
+        self.held += WORD_BYTES + 2 * len(word) + len(found[2])
+
+    def learn(self, words: set[str]) -> None:
+        """Sees to it that the words (but long ones) are known, and solves new ones many at a time:
+        those of one length advance together through Viterbi."""
+        if self.held > TABLE_BYTES:
+            self.before, self.known, self.held = self.known, {}, 0
+        known, before = self.known, self.before
+        new = words.difference(known)
+        again = new.intersection(before)
+        new -= again
+        compound, single = [], set()
+        for w in new:
+            if w[1:].isalpha() and len(w) <= LONG_WORD:
+                single.add(w)
+            elif len(w) <= LONG_WORD:
+                parts = self.split.split(w)
+                single.update(parts)
+                if len(parts) > 1:
+                    compound.append((w, parts))
+        single.difference_update(known, again)
+        more = single.intersection(before)
+        for w in itertools.chain(again, more):
+            known[w] = before[w]
+            self.held += WORD_BYTES + 2 * len(w)
+        single -= more
         by_length: dict[int, list[str]] = {}
-        compound = []
-        for w in words:
-            parts = [w] if w[1:].isalpha() else self.split.split(w)
-            if len(parts) > 1 and len(w) <= LONG_WORD:
-                compound.append((w, parts))
-            for x in parts:
-                if x not in self.parts:
-                    self.parts[x] = None
-                    by_length.setdefault(len(x), []).append(x)
+        for w in single:
+            by_length.setdefault(len(w), []).append(w)
         for n, same in by_length.items():
             if n > MANY or len(same) < 8:
                 for w in same:
-                    self.parts[w] = self.word(w)
+                    self.word(w)
             else:
-                for lo in range(0, len(same), 20_000):
-                    self.solve(same[lo : lo + 20_000], n)
+                for lo in range(0, len(same), 8192):
+                    self.solve(same[lo : lo + 8192], n)
         for w, parts in compound:
-            cost, gap, ids = zip(*(self.parts[x] for x in parts), strict=True)
-            self.known[w] = (sum(cost), min(gap), tuple(itertools.chain.from_iterable(ids)))
+            cost, gap, ids = zip(*map(known.__getitem__, parts), strict=True)
+            self.keep(w, (sum(cost), min(gap), b"".join(ids)))
 
     def solve(self, words: list[str], n: int) -> None:
         count, none = len(words), 1 << 60
@@ -131,10 +182,10 @@ class Segmenter:
         back, by = np.zeros((n + 1, count), dtype=np.int64), np.zeros((n + 1, count), dtype=np.int64)
         first[0] = 0
 
-        def arrive(a: int, b: int, at: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None:
+        def arrive(a: int, b: int, at: np.ndarray, cost: np.ndarray | int, ids: np.ndarray) -> None:
             v, f = first[a, at] + cost, first[b, at]
             better = v < f
-            second[b, at] = np.minimum(np.where(better, f, np.minimum(second[b, at], v)), second[a, at] + cost)
+            second[b, at] = np.minimum(np.minimum(np.maximum(v, f), second[b, at]), second[a, at] + cost)
             first[b, at] = np.where(better, v, f)
             at, ids = at[better], ids[better]
             back[b, at], by[b, at] = a, ids
@@ -144,33 +195,42 @@ class Segmenter:
             for b in range(a + 1, min(n, a + self.longest) + 1):
                 c = codes[b - 1, at]
                 h = h * np.uint64(HASH) + (c + 1).astype(np.uint64)
-                k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[k] == h
+                k = self.find(h)
+                hit = k >= 0
                 if b == a + 1:
-                    piece = hit & (self.key_cost[k] > 0)
-                    size = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-                    arrive(a, b, at, np.where(piece, self.key_cost[k], self.byte_cost * size), np.where(piece, self.key_id[k], -1 - c))
+                    ids = np.where(hit, self.key_id[k], -1)
+                    arrive(a, b, at, np.where(ids >= 0, self.key_cost[k], self.unknown_cost), np.where(ids >= 0, ids, -1 - c))
                     at, h = at[hit], h[hit]
                 else:
                     at, h, k = at[hit], h[hit], k[hit]
-                    piece = self.key_cost[k] > 0
+                    piece = self.key_id[k] >= 0
                     if piece.any():
                         arrive(a, b, at[piece], self.key_cost[k[piece]], self.key_id[k[piece]])
                 if not len(at):
                     break
-        taken = np.full((n, count), -(1 << 40), dtype=np.int64)
+        taken = np.full((n, count), -(1 << 30), dtype=np.int32)
         node, each = np.full(count, n), np.arange(count)
-        for step in range(n):
+        for step in range(1, n + 1):  # from the last piece, filled from the right
             on = each[node > 0]
             if not len(on):
                 break
-            taken[step, on] = by[node[on], on]
+            taken[n - step, on] = by[node[on], on]
             node[on] = back[node[on], on]
-        spelt = (taken < 0) & (taken > -(1 << 40))
-        plain, size = ~spelt.any(axis=0), (taken > -(1 << 40)).sum(axis=0)
-        for w, c, gap, m, ok, row in zip(words, first[n].tolist(), (second[n] - first[n]).tolist(), size.tolist(), plain.tolist(), taken.T.tolist(), strict=True):
-            ids = row[m - 1 :: -1]
-            self.parts[w] = self.known[w] = (c, gap, tuple(ids) if ok else tuple(x for i in ids for x in ((i,) if i >= 0 else self.spelt(chr(-1 - i)))))
+        spelt = (taken < 0) & (taken > -(1 << 30))
+        plain, size = ~spelt.any(axis=0), (taken > -(1 << 30)).sum(axis=0)
+        data = np.ascontiguousarray(taken.T)
+        flat = data.tobytes()
+        gap = np.minimum(second[n] - first[n], none).tolist()
+        ends = range(4 * n, 4 * n * (count + 1), 4 * n)
+        ids = [flat[e - m : e] for e, m in zip(ends, (4 * size).tolist(), strict=True)]
+        for k in np.flatnonzero(~plain).tolist():
+            ids[k] = self.packed(x for i in data[k, n - size[k] :].tolist() for x in ((i,) if i >= 0 else self.spelt(chr(-1 - i))))
+        self.known.update(zip(words, zip(first[n].tolist(), gap, ids, strict=True), strict=True))
+        self.held += (WORD_BYTES + 2 * n) * count
+
+    @staticmethod
+    def packed(ids) -> bytes:
+        return np.fromiter(ids, dtype="<i4").tobytes()
 
     def spelt(self, piece: str) -> tuple[int, ...]:
         i = self.id_of.get(piece)
@@ -185,15 +245,13 @@ class Segmenter:
             f, g = first[a], second[a]
             for b in range(a + 1, n + 1):
                 c = walk.get(word[a:b])
-                if not c:
-                    if b == a + 1 and (c is None or word[a:b] not in self.id_of):
-                        c, more = self.byte_cost * len(word[a].encode("utf-8", "surrogatepass")), c is not None
-                    elif c is None:
-                        break
-                    else:
+                more = c is not None
+                if c is None or c < 0:
+                    if b > a + 1:
+                        if not more:
+                            break
                         continue
-                else:
-                    more = True
+                    c = self.unknown_cost
                 into[b].append((a, c))
                 v = f + c
                 if v < first[b]:
@@ -206,46 +264,44 @@ class Segmenter:
                     break
         return first, second, back, into
 
-    def word(self, word: str) -> tuple[int, int, tuple[int, ...]]:
+    def word(self, word: str) -> tuple[int, int, bytes]:
         """(least cost, what the runner-up costs more, ids of the best path)."""
         found = self.known.get(word)
         if found is None:
             first, second, back, _ = self.forward(word)
-            ids: list[int] = []
+            ids: list[tuple[int, ...]] = []
             b = len(word)
             while b:
-                ids[:0] = self.spelt(word[back[b] : b])
+                ids.append(self.spelt(word[back[b] : b]))
                 b = back[b]
-            found = (first[-1], second[-1] - first[-1], tuple(ids))
+            found = (first[-1], min(second[-1] - first[-1], 1 << 60), self.packed(itertools.chain.from_iterable(reversed(ids))))
             if len(word) <= LONG_WORD:
-                if len(self.known) >= KNOWN_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+                self.keep(word, found)
         return found
 
-    def word_paths(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
+    def word_paths(self, word: str) -> list[tuple[int, bytes]]:
         """The best segmentations of one word as (cost, ids), best first, by backward A*."""
         if (found := self.paths.get(word)) is not None:
             return found
         first, _, _, into = self.forward(word)
-        out: list[tuple[int, tuple[int, ...]]] = []
+        out: list[tuple[int, bytes]] = []
         queue = [(first[-1], 0, (), len(word), 0)]
         taken = [0] * (len(word) + 1)
-        while queue and len(out) < self.n_best:
+        while queue and len(out) <= self.n_best:
             _, size, ids, at, done = heapq.heappop(queue)
             taken[at] += 1
             if taken[at] > self.n_best:  # no more than n paths through a node can be among the n best
                 continue
             if at == 0:
-                out.append((done, ids))
+                out.append((done, self.packed(ids)))
                 continue
             for a, c in into[at]:
                 piece = self.spelt(word[a:at])
                 heapq.heappush(queue, (first[a] + c + done, size + len(piece), piece + ids, a, c + done))
-        best = self.word(word)
-        out = ([(best[0], best[2])] + [x for x in out if x[1] != best[2]])[: self.n_best]
+        cost, _, ids = self.word(word)
+        out = ([(cost, ids)] + [x for x in out if x[1] != ids])[: self.n_best]
         if len(word) <= LONG_WORD:
-            if len(self.paths) >= KNOWN_WORDS // 10:
+            if len(self.paths) >= 10_000:
                 self.paths.clear()
             self.paths[word] = out
         return out
@@ -261,70 +317,71 @@ class Segmenter:
             text = text.replace("\n", "\0\n\0")
         return [w for w in text.replace(MARK, "\0" + MARK).split("\0") if w]
 
-    def picks(self, words: list[str]) -> tuple[list[tuple[int, ...]], list[tuple[int, list[tuple[int, int]]]]]:
-        """The ids of each word's best path, and the best segmentations as (cost, [(word, its way)])
+    def picks(self, words: list[str]) -> tuple[tuple[bytes, ...], list[tuple[int, tuple[tuple[int, int], ...]]]]:
+        """The ids of each word's best path, and the best segmentations as (cost, ((word, its way), ...))
         with the words that leave their best path, best first."""
         if not words:
-            return [], [(0, [])]
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [x or self.word(w) for x, w in zip(found, words, strict=True)]
-        cost, gap, ids = zip(*found, strict=True)
-        # A segmentation is a choice for each word and costs what the words' choices cost more.  The
-        # n - 1 words whose runner-up costs least hold all n best.
-        out, gaps = [(sum(cost), [])], list(gap)
+            return (), [(0, ())]
+        try:
+            cost, gap, ids = zip(*map(self.known.__getitem__, words), strict=True)
+        except KeyError:  # long words
+            cost, gap, ids = zip(*map(self.word, words), strict=True)
+        gaps, least = list(gap), []
         for _ in range(min(self.n_best - 1, len(words))):
             k = gaps.index(min(gaps))
             gaps[k] = 1 << 61
-            ways = self.word_paths(words[k])
-            out = heapq.nsmallest(self.n_best, ((c + w[0] - ways[0][0], [*pick, (k, j)] if j else pick) for c, pick in out for j, w in enumerate(ways)))
+            least.append(k)
+        # Backward A* over the chain.  Words that keep their best path cost what the heuristic says, so
+        # the search goes from one word that may leave it to the one before.
+        least.sort(reverse=True)
+        total, out, turn = sum(cost), [], itertools.count()
+        queue: list = [(total, next(turn), 0, ())]
+        while queue and len(out) < self.n_best:
+            c, _, at, pick = heapq.heappop(queue)
+            if at == len(least):
+                out.append((c, pick))
+                continue
+            ways = self.word_paths(words[least[at]])
+            for j, w in enumerate(ways):
+                heapq.heappush(queue, (c + w[0] - ways[0][0], next(turn), at + 1, ((least[at], j), *pick) if j else pick))
         return ids, out
 
-    def ranks_of(self, words: list[str]) -> list[tuple[float, array, bool]]:
-        """The best segmentations as (score, ids, spelling), best first, from a text's words; spelling
-        says that the ids stand for the same bytes as the best path's."""
+    def ranks_of(self, words: list[str]) -> list[tuple[float, bytes, bool]]:
+        """The best segmentations as (score, packed ids, spelling), best first, from a text's words;
+        spelling says that the ids stand for the same bytes as the best path's."""
         parts, picks = self.picks(words)
-        best = array("i", itertools.chain.from_iterable(parts))
         result = []
         for c, pick in picks:
-            ids, same = best, True
+            ways, same = parts, True
             if pick:
-                ids, at = array("i"), 0
-                for k, j in sorted(pick):
-                    lo = sum(map(len, parts[:k]))
-                    hi, way = lo + len(parts[k]), self.word_paths(words[k])[j][1]
-                    same = same and self.bytes_of(way) == self.bytes_of(parts[k])
-                    ids += best[at:lo]
-                    ids.extend(way)
-                    at = hi
-                ids += best[at:]
-            result.append((-c / UNIT, ids, same))
+                ways = list(parts)
+                for k, j in pick:
+                    ways[k] = self.word_paths(words[k])[j][1]
+                    same = same and self.bytes_of(ways[k]) == self.bytes_of(parts[k])
+            result.append((float(-c), b"".join(ways), same))
         return result
 
     def n_best_of(self, text: str | None) -> list[tuple[float, list[int]]]:
         """The best segmentations of a whole text as (score, ids), best first."""
-        return [(c, list(ids)) for c, ids, _ in self.ranks_of(self.words(text or ""))]
-
-    def scores_of(self, words: list[str]) -> tuple[list[float], list[int]]:
-        """The best segmentations' scores, and the ids of the best alone, from a text's words."""
-        parts, picks = self.picks(words)
-        return [-c / UNIT for c, _ in picks], list(itertools.chain.from_iterable(parts))
+        return [(c, np.frombuffer(ids, dtype="<i4").tolist()) for c, ids, _ in self.ranks_of(self.words(text or ""))]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for w in self.words(text or "") for i in self.word(w)[2]]
+        return np.frombuffer(b"".join(self.word(w)[2] for w in self.words(text or "")), dtype="<i4").tolist()
 
-    def bytes_of(self, ids) -> bytes:
-        return b"".join(map(self.text_of.__getitem__, ids))
+    def bytes_of(self, ids: bytes) -> bytes:
+        return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<i4").tolist()))
 
     def decode(self, ids) -> str:
-        return self.bytes_of(ids).decode("utf-8", "surrogatepass")[1:]
+        """The text of ids, packed or listed."""
+        data = self.bytes_of(ids) if isinstance(ids, bytes) else b"".join(map(self.text_of.__getitem__, ids))
+        return data.decode("utf-8", "surrogatepass")[1:]
 
 
 _READY: dict[tuple[str, int], Segmenter] = {}
 
 
 def segmenter(model: str, n_best: int) -> Segmenter:
-    """One for each worker process, so that its table of words outlives a task."""
+    """One for each worker process; what grows with the words is dropped after each task."""
     if (model, n_best) not in _READY:
         _READY[model, n_best] = Segmenter(model, n_best)
     return _READY[model, n_best]
@@ -353,18 +410,20 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
                 cols = [[] for _ in names[1:]]
                 texts = part.column(1).to_pylist()
                 split = [seg.words(t or "") for t in texts]
-                seg.learn(list(set().union(*split).difference(seg.known)))
+                seg.learn(set().union(*split))
                 for t, words in zip(texts, split, strict=True):
                     scores, ways, same = zip(*seg.ranks_of(words), strict=True)
                     plain = (t or "").replace(MARK, " ")
                     first = seg.decode(ways[0]) == plain
                     # The same bytes as the best path's give the same text.
                     trips = [first if alike else seg.decode(way) == plain for way, alike in zip(ways, same, strict=True)]
-                    sizes, hashes = list(map(len, ways)), [hashlib.sha256(way).hexdigest() for way in ways]
-                    for c, x in zip(cols, (sizes[0], scores[0], scores, first, hashes[0], sizes, trips, hashes, ways[0], ways), strict=False):
+                    sizes, hashes = [len(way) // 4 for way in ways], [hashlib.sha256(way).hexdigest() for way in ways]
+                    whole = [np.frombuffer(way, dtype="<i4") for way in ways] if ids else [None]
+                    for c, x in zip(cols, (sizes[0], scores[0], scores, first, hashes[0], sizes, trips, hashes, whole[0], whole), strict=False):
                         c.append(x)
                 types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))[: len(cols)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+        seg.forget()
 
     schema = f"doc_id {kind}, n_pieces long, score double, scores array<double>, round_trip boolean, ids_sha256 string, n_best_pieces array<long>, n_best_round_trip array<boolean>, n_best_sha256 array<string>" + ", ids array<int>, n_best_ids array<array<int>>" * ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
