@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from .failure import written
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(origin, node, cost): the least whole cost from each origin to every node that it reaches.
 
-    Only nodes whose cost fell in the last round are joined again.
+    Only nodes whose cost fell in the last round are joined again.  Costs below zero are refused, as
+    rounds would not end.
     """
+    if edges.filter("cost < 0").limit(1).count():
+        raise ValueError("costs must not be below zero")
     e = written(edges.select("src", "dst", F.col("cost").cast("long").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     best = moved = written(sources.select(F.col("name").alias("origin"), F.col("name").alias("node"), F.lit(0).cast("long").alias("cost")))
-    for _ in range(most_rounds):
+    while True:
         ahead = moved.join(e, moved["node"] == e["src"]).groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
         step = written(best.join(ahead, ["origin", "node"], "full").select("origin", "node", "cost", "new", F.least("cost", "new").alias("least")))
         moved = step.filter("cost is null or new < cost").select("origin", "node", F.col("least").alias("cost"))
         best = step.select("origin", "node", F.col("least").alias("cost"))
         if not moved.limit(1).count():
-            break
-    return best
+            return best
 
 
 def group_costs(costs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
