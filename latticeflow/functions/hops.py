@@ -15,6 +15,21 @@ def edges_of(hops: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hops, lambda h: h["edges"])))
 
 
+def edge_sequence(hops: Column) -> Column:
+    """The parallel choices from each node to the next; none for a path of one node."""
+    return F.transform(F.slice(hops, F.lit(1), F.greatest(F.size(hops) - 1, F.lit(0))), lambda h: h["edges"])
+
+
+def same_path(hops: Column, cost: Column, other_hops: Column, other_cost: Column) -> Column:
+    """Equal in every hop and in cost."""
+    return (hops == other_hops) & (cost == other_cost)
+
+
+def in_order(cost: Column, hops: Column) -> list[Column]:
+    """What to order paths by: the cost, then the nodes."""
+    return [cost, nodes_of(hops)]
+
+
 def source(hops: Column) -> Column:
     return F.element_at(hops, 1)["node"]
 

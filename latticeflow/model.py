@@ -131,6 +131,3 @@ class Network:
     def off(self) -> tuple[list[str], list[str]]:
         """Names of disabled nodes and links."""
         return [r[0] for r in self.nodes.filter("disabled").select("name").collect()], [r[0] for r in self.links.filter("disabled").select("link_id").collect()]
-
-
-PSEUDO_CAPACITY = LARGE

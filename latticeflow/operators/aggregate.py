@@ -90,9 +90,12 @@ def frequencies(results: DataFrame, keys: list[str], value: str, times: str | No
 def envelope(freq: DataFrame, keys: list[str]) -> DataFrame:
     """Count, least, greatest, mean and population deviation from frequencies."""
     n, v = F.col("n"), F.col("value")
-    base = freq.groupBy(*keys).agg(F.sum("n").alias("total_samples"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), (F.sum(n * v) / F.sum("n")).alias("mean_value"), F.sum(n * v * v).alias("_sq"))
-    var = F.col("_sq") / F.col("total_samples") - F.col("mean_value") * F.col("mean_value")
-    return base.withColumn("stdev_value", F.sqrt(F.greatest(var, F.lit(0.0)))).drop("_sq")
+    base = freq.groupBy(*keys).agg(F.sum("n").alias("total_samples"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), (F.sum(n * v) / F.sum("n")).alias("mean_value"))
+    # Squares of deviations, not of values: large capacities would lose their digits.
+    mean = base.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("mean_value").alias("_mean"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    off = freq.join(mean, same).groupBy(*(f"_{k}" for k in keys)).agg(F.sqrt(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))) / F.sum("n")).alias("stdev_value"))
+    return base.join(off, same).drop(*(f"_{k}" for k in keys))
 
 
 def envelope_percentile(freq: DataFrame, keys: list[str], p: float) -> DataFrame:
@@ -120,6 +123,11 @@ def merge_costs(costs: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cost", "volume")))).alias("cost_distribution"))
 
 
+def cost_statistics(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cost, mean, min, max, total_samples): the volumes that results put on each cost."""
+    return envelope(frequencies(costs, [*keys, "cost"], "volume"), [*keys, "cost"]).select(*keys, "cost", F.col("mean_value").alias("mean"), F.col("min_value").alias("min"), F.col("max_value").alias("max"), "total_samples")
+
+
 def edge_frequency(cuts: DataFrame, keys: list[str], edges: str) -> DataFrame:
     """How often each edge lies in a cut."""
     return cuts.select(*keys, F.explode(edges).alias("edge")).groupBy(*keys, "edge").agg(F.count("*").alias("n"))

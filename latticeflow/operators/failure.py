@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import random
-import re
 import uuid
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import attribute, conditions
-from ..functions.names import failure_id
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,6 +21,8 @@ def written(df: DataFrame) -> DataFrame:
     if not where:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = f"file://{tempfile.gettempdir()}/latticeflow-scratch"
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/network/{uuid.uuid4().hex}"
@@ -118,6 +118,13 @@ def check_policy(policy: Mapping) -> dict:
     return dict(policy)
 
 
+def policy_dict(policy: Mapping) -> dict:
+    """A policy as plain data, with every default filled in."""
+    rule = lambda r: {"scope": r.get("scope", "node"), "conditions": [dict(c) for c in (r.get("match") or {}).get("conditions", [])], "logic": (r.get("match") or {}).get("logic", "or"), "mode": r.get("mode", "all"), "probability": float(r.get("probability", 1.0)), "count": int(r.get("count", 1)), **{k: r[k] for k in ("weight_by", "path") if r.get(k)}}
+    modes = [{"weight": float(m.get("weight", 1.0)), "rules": [rule(r) for r in m.get("rules") or []], "attrs": dict(m.get("attrs") or {})} for m in policy.get("modes") or []]
+    return {"attrs": dict(policy.get("attrs") or {}), "expand_groups": bool(policy.get("expand_groups")), "expand_children": bool(policy.get("expand_children")), "seed": policy.get("seed"), "modes": modes}
+
+
 def pick_mode(weights: Sequence[float], rng: random.Random) -> int:
     """By cumulative weight; the first without a draw where none is positive."""
     total = sum(w for w in weights if w > 0)
@@ -145,7 +152,7 @@ def sample_once(policy: Mapping, matched: Mapping[tuple[int, int], list[tuple[st
     modes = policy["modes"]
     m = pick_mode([float(x.get("weight", 1.0)) for x in modes], rng)
     failed: dict[str, set] = {"node": set(), "link": set(), "risk_group": set()}
-    trace = {"mode_index": m, "selections": []}
+    trace = {"mode_index": m, "mode_attrs": dict(modes[m].get("attrs") or {}), "selections": [], "expansion": {"nodes": [], "links": [], "risk_groups": []}}
     for k, rule in enumerate(modes[m].get("rules") or []):
         rows = matched.get((m, k), [])
         ids, how = [i for i, _ in rows], rule.get("mode", "all")
@@ -224,6 +231,7 @@ def sample(network, policy: Mapping, iterations: int, seed: int | None) -> DataF
             for i in batch.column(0).to_pylist():
                 failed, trace = sample_once(policy, matched, None if seed is None else seed + i)
                 nodes, links, groups = set(failed["node"]), set(failed["link"]), set(failed["risk_group"])
+                drawn = [set(x) for x in (nodes, links, groups)]
                 if policy.get("expand_groups"):
                     stack = [*nodes, *links]
                     while stack:
@@ -235,6 +243,7 @@ def sample(network, policy: Mapping, iterations: int, seed: int | None) -> DataF
                                     stack.append(y)
                 if policy.get("expand_children"):
                     groups = below(groups, kids)
+                trace["expansion"] = {k: sorted(x - y) for k, x, y in zip(("nodes", "links", "risk_groups"), (nodes, links, groups), drawn, strict=True)}
                 # A failed group at the top takes the members of all groups below it.
                 for g in below(groups & top, kids):
                     for x in held.get(g, ()):
@@ -252,10 +261,6 @@ def distinct_patterns(samples: DataFrame) -> DataFrame:
     return samples.groupBy("excluded_nodes", "excluded_links").agg(F.count("*").alias("occurrence_count"), F.min("iteration").alias("first_iteration"), F.min_by("trace", "iteration").alias("trace"))
 
 
-def name_pattern(nodes: Sequence[str], links: Sequence[str]) -> str:
-    return failure_id(nodes, links)
-
-
 def weighted_top_k(df: DataFrame, key: str, u: str, weight: str, k: int) -> DataFrame:
     """The relational form: k rows with the largest u ** (1 / weight), rows without weight last."""
     score = F.when(F.col(weight) > 0, F.pow(F.col(u), F.lit(1.0) / F.col(weight))).otherwise(F.lit(-1.0))
@@ -274,7 +279,3 @@ def cumulative_weights(modes: DataFrame, order: str, weight: str) -> DataFrame:
     blocks = rows.groupBy("_block").agg(F.sum(w).alias("_sum")).select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.sum(w).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.join(F.broadcast(blocks), "_block").withColumn("upto", F.col("_before") + within).drop("_block", "_before")
-
-
-def is_plain(pattern: str) -> bool:
-    return re.fullmatch(r"[\w/ -]*", pattern) is not None

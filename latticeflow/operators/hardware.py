@@ -35,9 +35,25 @@ def library_frame(spark: SparkSession, library: Mapping[str, Mapping]) -> DataFr
 
 
 def merge_libraries(base: Mapping, other: Mapping, override: bool = True) -> dict:
+    """Both libraries' components; of one name the other's, or the base's without override."""
     return {**base, **other} if override else {**other, **base}
 
 
+def component(library: Mapping, name: str) -> Mapping | None:
+    """A component by its name at the top of the library."""
+    return library.get(name)
+
+
+def library_dict(library: Mapping) -> dict:
+    """A copy of its own, as plain data with the defaults filled in."""
+
+    def one(c: Mapping) -> dict:
+        numbers = {k: float(c.get(k) or 0.0) for k in ("capex", "power_watts", "power_watts_max", "capacity")}
+        return {"component_type": c.get("component_type", "generic"), "description": c.get("description", ""), **numbers, "ports": int(c.get("ports") or 0), "count": int(c.get("count", 1)), "attrs": dict(c.get("attrs") or {}), "children": {n: one(x) for n, x in (c.get("children") or {}).items()}}
+
+    return {n: one(c) for n, c in library.items()}
+
+
 def totals(components: DataFrame) -> DataFrame:
     """(component, capex, power_watts, power_watts_max, capacity): own and children's, times counts."""
     times = lambda c: F.sum(F.col(c) * F.col("cum_count")).alias(c)

@@ -11,6 +11,7 @@ import itertools
 import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,10 @@ class Analysis:
         """The baseline and each distinct pattern of so many draws, with how often it came."""
         if not policy or not any(m.get("rules") for m in policy.get("modes", [])):
             return self.baseline()
-        named = F.udf(lambda n, k: failure_id(n, k))
+        @F.pandas_udf("string")
+        def named(nodes: pd.Series, links: pd.Series) -> pd.Series:
+            return pd.Series([failure_id(list(n), list(k)) for n, k in zip(nodes, links, strict=True)], dtype=object)
+
         drawn = fl.distinct_patterns(fl.sample(self.network, policy, iterations, seed))
         rows = drawn.select(named("excluded_nodes", "excluded_links").alias("failure_id"), "excluded_nodes", "excluded_links", "occurrence_count", "trace")
         return self.baseline().unionByName(rows.filter("failure_id <> ''")).unionByName(rows.filter("failure_id = ''").withColumn("failure_id", F.lit("none")))
@@ -88,8 +92,6 @@ class Analysis:
         sent = self.spark.sparkContext.broadcast((graph, units, self.off_nodes, self.off_links))
         work = patterns.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(units) - 1))))) if units else patterns.withColumn("unit", F.lit(0)).limit(0)
         def run(batches):
-            import pandas as pd
-
             g, units, off_n, off_l = sent.value
             for pdf in batches:
                 rows = []
@@ -177,6 +179,11 @@ class Analysis:
 
         return self._over(patterns if patterns is not None else self.baseline(), self._path_units(source, target, mode), self.graph(), kernel, PATHS)
 
+    def single(self, policy: Mapping | None, seed: int | None) -> DataFrame:
+        """The one pattern that a policy draws first, for a run of a single scenario."""
+        drawn = self.monte_carlo(policy, 1, seed)
+        return drawn.filter("failure_id <> ''") if policy else drawn
+
     def place(self, demands: Sequence[Mapping], alpha: float = 1.0, patterns: DataFrame | None = None, details: bool = True) -> DataFrame:
         """Places demands by priority on shared capacity, for each pattern on its own.
 
@@ -197,16 +204,19 @@ class Analysis:
 
         return self._over(patterns if patterns is not None else self.baseline(), units, self.graph(extra), kernel, PLACED + ", alpha double")
 
-    def maximum_supported_demand(self, demands: Sequence[Mapping], alpha_start: float = 1.0, growth: float = 2.0, alpha_min: float = 1e-6, alpha_max: float = 1e9, resolution: float = 0.01, max_bracket: int = 32, max_bisect: int = 32, width: int = 8) -> float:
+    def maximum_supported_demand(self, demands: Sequence[Mapping], alpha_start: float = 1.0, growth: float = 2.0, alpha_min: float = 1e-6, alpha_max: float = 1e9, resolution: float = 0.01, max_bracket: int = 32, max_bisect: int = 32, width: int = 8, probes: dict | None = None) -> float:
         """The largest factor at which all demands are placed whole.
 
-        Several factors are tried in each job, as rows of work, to save rounds.
+        Several factors are tried in each job, as rows of work, to save rounds; probes gets them all.
         """
         concrete, extra = dm.expand(self.network.nodes, demands)
 
         def feasible(alphas: list[float]) -> dict[float, bool]:
             rows = self._place([(concrete, a) for a in alphas], extra, None, False).groupBy("alpha").agg(F.sum("demand").alias("d"), F.sum("placed").alias("p")).collect()
-            return {r.alpha: r.d == 0 or r.p / r.d >= 1 - 1e-12 for r in rows}
+            found = {r.alpha: r.d == 0 or r.p / r.d >= 1 - 1e-12 for r in rows}
+            if probes is not None:
+                probes.update(found)
+            return found
 
         return search(feasible, alpha_start, growth, alpha_min, alpha_max, resolution, max_bracket, max_bisect, width)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
 from ..functions.names import number_key
+from ..functions.report import logger
 from ..operators import aggregate as ag
 from ..operators import hardware as hw
 from .analysis import Analysis
 
+log = logger("workflow")
 STEPS: dict[str, Callable] = {}
 #: What a step may be told, by its type.
 OPTIONS = {
@@ -22,6 +25,10 @@ OPTIONS = {
 }
 
 
+#: How the search for the maximum supported demand goes, unless told otherwise.
+SEARCH = {"alpha_start": 1.0, "growth_factor": 2.0, "alpha_min": 1e-6, "alpha_max": 1e9, "resolution": 0.01, "max_bracket_iters": 32, "max_bisect_iters": 32}
+
+
 def step(name: str):
     def add(f):
         STEPS[name] = f
@@ -36,13 +43,23 @@ def run_steps(scenario) -> dict:
     for order, s in enumerate(scenario.steps):
         if s["type"] not in STEPS:
             raise ValueError(f"unknown step type {s['type']!r}")
-        extra = set(s) - {"type", "name", "seed"} - OPTIONS.get(s["type"], set(s))
+        extra = set(s) - {"type", "name", "seed", "seed_source"} - OPTIONS.get(s["type"], set(s))
         if extra:
             raise ValueError(f"step {s['name']}: unknown keys {sorted(extra)}")
         began = time.time()
-        got = STEPS[s["type"]](scenario, s)
-        out["steps"][s["name"]] = {"metadata": {**got.get("metadata", {}), "duration_sec": time.time() - began}, "data": got["data"]}
-        out["workflow"][s["name"]] = {"step_type": s["type"], "step_name": s["name"], "execution_order": order, "seed": s["seed"]}
+        log.info("step %d, %s (%s) begins", order, s["name"], s["type"])
+        out.enter(s["name"], step_type=s["type"], seed=s["seed"], scenario_seed=scenario.seed, seed_source=s.get("seed_source", "none"))
+        try:
+            got = STEPS[s["type"]](scenario, s)
+            out.put("metadata", {**got.get("metadata", {}), "duration_sec": time.time() - began})
+            out.put("data", got["data"])
+        except Exception as e:
+            log.error("step %s (%s) failed after %.1f s: %s", s["name"], s["type"], time.time() - began, e)
+            e.add_note(f"in step {s['name']!r} of type {s['type']}")
+            raise
+        finally:
+            out.leave()
+        log.info("step %s took %.1f s", s["name"], time.time() - began)
     return out
 
 
@@ -89,8 +106,9 @@ def _patterns(scenario, s, a: Analysis):
     return a.monte_carlo(policy, int(s.get("iterations", 1)), seed)
 
 
-def _results(rows, entry) -> tuple[dict, list[dict]]:
-    """The baseline and one result for each pattern, with its flows and their summary."""
+def _results(rows, entry, traces: bool = False) -> tuple[dict, list[dict]]:
+    """The baseline and one result for each pattern, with its flows and their summary; with traces,
+    also how the pattern was drawn the first time."""
     by: dict[str, list] = {}
     for r in rows:
         by.setdefault(r.failure_id, []).append(r)
@@ -100,10 +118,21 @@ def _results(rows, entry) -> tuple[dict, list[dict]]:
         made = [entry(r) for r in flows]
         demand, placed = sum(x["demand"] for x in made), sum(x["placed"] for x in made)
         out.append({"failure_id": key, "failure_state": {"excluded_nodes": sorted(f.excluded_nodes), "excluded_links": sorted(f.excluded_links)}, "occurrence_count": f.occurrence_count, "flows": made, "summary": {"total_demand": demand, "total_placed": placed, "overall_ratio": placed / demand if demand else 1.0, "dropped_flows": sum(x["placed"] < x["demand"] - 1e-9 for x in made), "num_flows": len(made)}})
+        if traces:
+            out[-1]["failure_trace"] = json.loads(f.trace) if f.trace else None
     base = next((x for x in out if x["failure_id"] == ""), None)
     return base, [x for x in out if x is not base]
 
 
+def _rounds(s) -> int | str:
+    """placement_rounds, checked and reported.  A placement here ends when nothing more fits, so there
+    is nothing left to a further round."""
+    n = s.get("placement_rounds", "auto")
+    if n != "auto" and (not isinstance(n, int) or isinstance(n, bool) or n < 1):
+        raise ValueError(f"step {s['name']}: placement_rounds must be auto or a positive number")
+    return n
+
+
 def _costs(r) -> dict:
     return {number_key(k): v for k, v in sorted((r.cost_distribution or {}).items())}
 
@@ -113,7 +142,7 @@ def max_flow(scenario, s):
     a = _analysis(scenario, s)
     rows = a.max_flow(s["source"], s["target"], s.get("mode", "combine"), s.get("shortest_path", False), s.get("require_capacity", True), s.get("flow_placement", "PROPORTIONAL"), _patterns(scenario, s, a), s.get("include_min_cut", False)).collect()
     entry = lambda r: {"source": r.src_label, "destination": r.dst_label, "priority": 0, "demand": r.total_flow, "placed": r.total_flow, "dropped": 0.0, "cost_distribution": _costs(r) if s.get("include_flow_details") else {}, "data": {"edges": [f"{x.link_id}:{x.direction}" for x in r.saturated], "edges_kind": "min_cut"} if s.get("include_min_cut") else {}}
-    base, results = _results(rows, entry)
+    base, results = _results(rows, entry, s.get("store_failure_patterns", False))
     return {"data": {"baseline": base, "flow_results": results, "context": {k: s.get(k) for k in ("source", "target", "mode")}}, "metadata": {"iterations": int(s.get("iterations", 1)), "unique_patterns": len(results)}}
 
 
@@ -132,8 +161,8 @@ def traffic_matrix_placement(scenario, s):
         raise ValueError("alpha must be positive")
     rows = a.place(scenario.demand_set(s.get("demand_set", "default")), alpha, _patterns(scenario, s, a)).collect()
     entry = lambda r: {"source": r.src, "destination": r.dst, "priority": r.priority, "demand": r.demand, "placed": r.placed, "dropped": r.demand - r.placed, "cost_distribution": _costs(r) if s.get("include_flow_details") else {}, "data": {"edges": list(r.edges), "edges_kind": "used"} if s.get("include_used_edges") else {}}
-    base, results = _results(rows, entry)
-    return {"data": {"baseline": base, "flow_results": results, "context": {"demand_set": s.get("demand_set", "default"), "alpha": alpha}}, "metadata": {"iterations": int(s.get("iterations", 1)), "unique_patterns": len(results)}}
+    base, results = _results(rows, entry, s.get("store_failure_patterns", False))
+    return {"data": {"baseline": base, "flow_results": results, "context": {"demand_set": s.get("demand_set", "default"), "alpha": alpha, "placement_rounds": _rounds(s)}}, "metadata": {"iterations": int(s.get("iterations", 1)), "unique_patterns": len(results)}}
 
 
 @step("MaximumSupportedDemand")
@@ -141,5 +170,14 @@ def maximum_supported_demand(scenario, s):
     demands = scenario.demand_set(s.get("demand_set", "default"))
     names = {"alpha_start": "alpha_start", "growth_factor": "growth", "alpha_min": "alpha_min", "alpha_max": "alpha_max", "resolution": "resolution", "max_bracket_iters": "max_bracket", "max_bisect_iters": "max_bisect"}
     how = {names[k]: s[k] for k in names if k in s}
-    alpha = Analysis(scenario.network).maximum_supported_demand(demands, **how)
-    return {"data": {"alpha_star": alpha, "context": {"demand_set": s.get("demand_set", "default")}, "base_demands": demands}}
+    rule, seeds = s.get("acceptance_rule", "hard"), s.get("seeds_per_alpha", 1)
+    if rule != "hard":
+        raise ValueError(f"step {s['name']}: acceptance_rule {rule!r} is not there; 'hard' is")
+    if not isinstance(seeds, int) or isinstance(seeds, bool) or seeds < 1:
+        raise ValueError(f"step {s['name']}: seeds_per_alpha must be a positive number")
+    probes: dict[float, bool] = {}
+    alpha = Analysis(scenario.network).maximum_supported_demand(demands, probes=probes, **how)
+    # Placement draws nothing at random: every seed would answer alike.
+    context = {"demand_set": s.get("demand_set", "default"), "acceptance_rule": rule, "seeds_per_alpha": seeds, "placement_rounds": _rounds(s)}
+    context |= {k: s.get(k, d) for k, d in SEARCH.items()}
+    return {"data": {"alpha_star": alpha, "context": context, "base_demands": demands, "probes": [{"alpha": a, "feasible": ok} for a, ok in sorted(probes.items())]}}

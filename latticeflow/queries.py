@@ -307,6 +307,12 @@ def cost_distribution_merge(spark, sf):
     return ag.merge_costs(c, ["source"]).select("source", F.explode("cost_distribution").alias("cost", "volume"))
 
 
+@query("select source, destination as cost, round(avg(v), 6) mean, min(v) min, max(v) max, count(*) total_samples from fw group by 1, 2", FLOWS)
+def flow_cost_statistics(spark, sf):
+    c = event_flows(spark, sf).select("source", F.col("destination").alias("cost"), F.col("v").alias("volume"))
+    return ag.cost_statistics(c, ["source"]).withColumn("mean", F.round("mean", 6))
+
+
 @query("select distinct cast(v * 0.125 as double) as x, rtrim(rtrim(printf('%.9f', v * 0.125), '0'), '.') as key from fw where v > 0", FLOWS)
 def number_keys(spark, sf):
     x = event_flows(spark, sf).filter("v > 0").select((F.col("v") * 0.125).alias("x")).distinct()
@@ -378,6 +384,17 @@ def shortest_path_costs(spark, sf):
     return paths.shortest_costs(topology.active_edges(links, nodes), sources)
 
 
+@query("""select a.region src_label, b.region dst_label, coalesce(min(cast(d.cost as double)), cast('infinity' as double)) as cost from nd a join nd b on a.region <> b.region left join d32 d on d.origin = a.name and d.node = b.name
+  where not a.disabled and not b.disabled group by 1, 2""", ND, LK, AL, *COSTS)
+def group_path_costs(spark, sf):
+    """The least cost between any two nodes of two regions, by joins alone."""
+    nodes, links = nation_nodes(spark, sf), nation_links(spark, sf)
+    groups = select_nodes(nodes, "([A-Z ]+)/").select("label", "name")
+    costs = paths.shortest_costs(topology.active_edges(links, nodes), groups.select("name"))
+    found = paths.group_costs(costs, groups, groups).withColumn("cost", F.col("cost").cast("double"))
+    return topology.fill_missing(topology.group_pairs(groups, groups), found, "cost", float("inf"))
+
+
 @query("""select 'ASIA' src_label, 'EUROPE' dst_label, (select sum(capacity) from al where source like 'ASIA/%' and target like 'EUROPE/%')
  + (select sum(capacity) from al where target like 'ASIA/%' and source like 'EUROPE/%') total_flow""", ND, LK, AL)
 def max_flow_direct(spark, sf):

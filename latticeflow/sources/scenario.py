@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.names import derive_seed, expand_block, expand_brackets, expand_refs, join_path
 from ..model import Network
 from ..operators import failure as fl
+from ..operators import hardware as hw
 from ..operators.demand import check as check_demand
+from ..plans.results import Results
 
 #: The keys that each part of a scenario may have.
 TOP = {"vars", "seed", "blueprints", "network", "risk_groups", "failures", "demands", "workflow", "components"}
@@ -94,9 +96,32 @@ def load(text: str) -> dict:
     for s in data.get("workflow") or []:
         if not s.get("type"):
             raise ValueError("a step needs a type")
+    limits(data)
     return data
 
 
+#: The words that a key may have, and the least numbers.
+WORDS = {"mode": {"pairwise", "combine", "per_group", "group_pairwise", "all", "random", "choice"}, "group_mode": {"flatten", "per_group", "group_pairwise"}, "pattern": {"mesh", "one_to_one"}, "logic": {"and", "or"}, "scope": {"node", "link", "risk_group"}}
+LEAST = {"capacity": 0, "cost": 0, "volume": 0, "weight": 0, "probability": 0, "count": 0, "iterations": 0}
+
+
+def limits(part, where: str = "scenario") -> None:
+    """Words and numbers out of range are refused wherever they stand, but for free attributes."""
+    if isinstance(part, list):
+        for k, x in enumerate(part):
+            limits(x, f"{where}[{k}]")
+    if not isinstance(part, Mapping):
+        return
+    for k, v in part.items():
+        if isinstance(v, str) and not v.startswith("$"):
+            if k in WORDS and v not in WORDS[k]:
+                raise ValueError(f"{where}: {k} is one of {sorted(WORDS[k])}, not {v!r}")
+        elif k in LEAST and isinstance(v, (int, float)) and not isinstance(v, bool) and v < LEAST[k]:
+            raise ValueError(f"{where}: {k} must not be below {LEAST[k]}, is {v}")
+        elif k not in ("attrs", "vars", "params", "expand", "components"):
+            limits(v, f"{where}.{k}")
+
+
 # Expansion ---------------------------------------------------------------------------------------
 
 
@@ -291,7 +316,7 @@ class Scenario:
     components: dict
     steps: list[dict]
     seed: int | None = None
-    results: dict = field(default_factory=lambda: {"workflow": {}, "steps": {}, "scenario": {}})
+    results: Results = field(default_factory=Results)
 
     @classmethod
     def from_yaml(cls, spark: SparkSession, text: str, components: Mapping | None = None) -> Scenario:
@@ -312,9 +337,10 @@ class Scenario:
             if name in seen:
                 raise ValueError(f"step name {name!r} is there twice")
             seen.add(name)
-            steps.append({**s, "name": name, "seed": s["seed"] if s.get("seed") is not None else derive_seed(seed, "workflow_step", name)})
-        out = cls(network, demands, policies, {**(components or {}), **(data.get("components") or {})}, steps, seed)
-        out.results["scenario"] = {"seed": seed, "failures": {k: {"modes": v["modes"]} for k, v in policies.items()}, "demands": demands}
+            own = s.get("seed") is not None
+            steps.append({**s, "name": name, "seed": s["seed"] if own else derive_seed(seed, "workflow_step", name), "seed_source": "explicit-step" if own else "scenario-derived" if seed is not None else "none"})
+        out = cls(network, demands, policies, hw.merge_libraries(components or {}, data.get("components") or {}), steps, seed)
+        out.results["scenario"] = {"seed": seed, "failures": {k: fl.policy_dict(v) for k, v in policies.items()}, "demands": demands}
         return out
 
     def demand_set(self, name: str = "default") -> list[dict]:
