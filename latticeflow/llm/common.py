@@ -98,18 +98,34 @@ def as_bytes(column) -> list[bytes | None]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a local one only in a single process without it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+
         where = f"file://{tempfile.gettempdir()}/latticeflow-scratch"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes a frame as Parquet to the shared folder and reads it back.
+def tidy_session(spark: SparkSession) -> SparkSession:
+    """A session of the same settings that drops an execution's shuffle files when it has ended.
+
+    For steps that write their result and are not run again; the caller's session stays as it is.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return own
+
+
+def cut(df: DataFrame, name: str = "t", reader: SparkSession | None = None) -> DataFrame:
+    """Writes a frame as Parquet to the shared folder and reads it back, in another session if given.
 
     Lost executors cost a rerun of tasks, never of the steps before, and no plan grows with the
     rounds of a loop.
@@ -117,7 +133,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

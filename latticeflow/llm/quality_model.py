@@ -2,18 +2,20 @@
 
 One view is the text's content: hashed words, hashed word shapes (runs of letter case, digits and
 signs) and a few rates.  The other is the page's metadata: source, language and stated length.  Each
-view has a logistic classifier.  In each round both label a pool of unlabelled documents, and what
-one is most sure of, in proportion to the classes, is added to what the other learns from.  At the
-end a logistic combination of both views' log-odds is calibrated on labelled rows that neither
-classifier has seen, and it scores all documents.
-
-Learning uses about FIT_ROWS labelled and POOL_ROWS unlabelled documents, whose hashes are low
-enough; features are made on the executors and only packed features reach the driver.  Scoring is
+view has a logistic classifier.  In each round both look at all unlabelled documents; of those that
+it has not taught before, each hands its surest ones (PICKS, in proportion to the classes) to the
+other, which learns from them at half weight.  At the end a logistic combination of both views'
+log-odds is calibrated on labelled rows that neither classifier has seen, and it scores all documents.
+
+Learning starts from about FIT_ROWS labelled documents, whose hashes are low enough.  A round is one
+pass over the unlabelled documents in which every task keeps its own surest ones; the surest of all
+come from a table of these, so the driver gets no more than PICKS rows a round and view.  Scoring is
 one pass without a shuffle.
 
 Defined results: null texts have the features of empty ones; null metadata is a value of its own;
 null labels teach nothing; without labels of both classes every score is the known share (1 without
-any label); repeated rows get the same result each; extra columns are ignored.
+any label); rows of one id teach once, those without an id never; repeated rows get the same result
+each; of equally sure documents those with the least hash of their id teach; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, mix, word_hashes
+from .common import U64, as_bytes, cut, mix, word_hashes
 
-FIT_ROWS, POOL_ROWS = 5_000, 5_000
-ROUNDS, SHARE = 3, 0.04  # of the pool that each view labels in a round
+FIT_ROWS = 5_000  # labelled documents to learn from
+ROUNDS, PICKS, SURE = 3, 200, 0.9  # documents that each view labels in a round, when it is as sure as that
 WORDS, SHAPES, RATES, META = 1 << 12, 1 << 9, 8, 1 << 8
 TEXT_SIZE = WORDS + SHAPES + RATES
 
@@ -101,37 +103,84 @@ def logistic(x: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 80, ridge:
     return w
 
 
-def co_train(text: list, meta: list, y: np.ndarray, pool_text: list, pool_meta: list, rounds: int = ROUNDS, share: float = SHARE) -> dict:
-    """Both views' weights and their calibrated combination.  Every fifth labelled row calibrates."""
-    held = np.arange(len(y)) % 5 == 4
-    views = []
-    for rows, pool, size in ((text, pool_text, TEXT_SIZE), (meta, pool_meta, META)):
-        views.append({"rows": [r for r, h in zip(rows, held, strict=True) if not h], "y": y[~held].astype(float), "w": np.ones(int((~held).sum())), "pool": Rows(pool, size), "pool_rows": pool, "size": size, "used": np.zeros(len(pool), dtype=bool)})
-    base = float(y.mean())
-    for turn in range(rounds + 1):
-        for v in views:
-            v["model"] = logistic(Rows(v["rows"], v["size"]), v["y"], v["w"])
-        if turn == rounds or not len(pool_text):
-            break
-        picks = []
-        for v in views:
-            p = sigmoid(v["pool"].dot(v["model"]))
-            want = max(1, int(len(p) * share))
-            high, low = max(1, round(want * base)), max(1, round(want * (1 - base)))
-            order = np.argsort(p, kind="stable")
-            low_at, high_at = order[:low], order[::-1][:high]
-            picks.append((low_at[p[low_at] < 0.1], high_at[p[high_at] > 0.9]))
-        for v, (low_at, high_at) in zip(views, reversed(picks), strict=True):
-            for at, value in ((low_at, 0.0), (high_at, 1.0)):
-                at = at[~v["used"][at]]
-                v["used"][at] = True
-                v["rows"] = v["rows"] + [v["pool_rows"][k] for k in at]
-                v["y"] = np.append(v["y"], np.full(len(at), value))
-                v["w"] = np.append(v["w"], np.full(len(at), 0.5))
-    odds = [Rows([r for r, h in zip(rows, held, strict=True) if h], size).dot(v["model"]) for rows, v, size in ((text, views[0], TEXT_SIZE), (meta, views[1], META))]
-    part = [(np.arange(3, dtype=np.int32), np.array([a / 4, b / 4, 1.0])) for a, b in zip(*odds, strict=True)]
-    final = logistic(Rows(part, 3), y[held].astype(float), np.ones(len(part)), steps=400, ridge=1e-3)
-    return {"text": views[0]["model"].astype(np.float32), "meta": views[1]["model"].astype(np.float32), "final": final, "base": base}
+class Views:
+    """Two classifiers that teach each other.  Every fifth labelled row calibrates."""
+
+    def __init__(self, text: list, meta: list, y: np.ndarray) -> None:
+        self.held = np.arange(len(y)) % 5 == 4
+        self.y, self.base = y, float(y.mean())
+        self.labelled = {"text": text, "meta": meta}
+        self.size = {"text": TEXT_SIZE, "meta": META}
+        self.rows = {v: [r for r, h in zip(x, self.held, strict=True) if not h] for v, x in self.labelled.items()}
+        self.target = {v: y[~self.held].astype(float) for v in self.labelled}
+        self.weight = {v: np.ones(int((~self.held).sum())) for v in self.labelled}
+        self.taught: dict[str, set[int]] = {"text": set(), "meta": set()}  # keys that a view has labelled
+        self.train()
+
+    def train(self) -> None:
+        self.model = {v: logistic(Rows(self.rows[v], self.size[v]), self.target[v], self.weight[v]).astype(np.float32) for v in self.rows}
+
+    def teach(self, view: str, picks: list[tuple[int, float, tuple[np.ndarray, np.ndarray]]]) -> None:
+        """view's picks, as (key, label, features in the other view), go to the other view."""
+        other = "meta" if view == "text" else "text"
+        self.taught[view] |= {k for k, _, _ in picks}
+        self.rows[other] = self.rows[other] + [r for _, _, r in picks]
+        self.target[other] = np.append(self.target[other], [y for _, y, _ in picks])
+        self.weight[other] = np.append(self.weight[other], np.full(len(picks), 0.5))
+
+    def wanted(self, picks: int) -> dict[int, int]:
+        """How many documents of each class a view hands over in a round."""
+        return {0: max(1, round(picks * (1 - self.base))), 1: max(1, round(picks * self.base))}
+
+    def combined(self) -> dict:
+        odds = [Rows([r for r, h in zip(self.labelled[v], self.held, strict=True) if h], self.size[v]).dot(self.model[v]) for v in ("text", "meta")]
+        part = [(np.arange(3, dtype=np.int32), np.array([a / 4, b / 4, 1.0])) for a, b in zip(*odds, strict=True)]
+        final = logistic(Rows(part, 3), self.y[self.held].astype(float), np.ones(len(part)), steps=400, ridge=1e-3)
+        return {**self.model, "final": final, "base": self.base}
+
+
+def surest(p: np.ndarray, keys: np.ndarray, taught: np.ndarray, side: int, most: int, sure: float = SURE) -> np.ndarray:
+    """Places of the documents that are most surely of a class, and sure enough, not taught before."""
+    score = p if side else 1 - p
+    at = np.flatnonzero((score > sure) & ~np.isin(keys, taught))
+    at = at[np.lexsort((keys[at], -score[at]))]
+    _, once = np.unique(keys[at], return_index=True)
+    return at[np.sort(once)][:most]
+
+
+CANDIDATE = "view string, side int, score double, key long, i binary, v binary"
+
+
+def candidates(free: DataFrame, views: Views, picks: int) -> DataFrame:
+    """Each task's surest documents by view and class, with their features in the other view."""
+    model, wanted = views.model, views.wanted(picks)
+    taught = {v: np.array(sorted(k), dtype=np.int64) for v, k in views.taught.items()}
+
+    def work(batches):
+        import pyarrow as pa
+
+        best: dict = {(v, side): [] for v in model for side in wanted}
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            if not len(keys):
+                continue
+            found = {
+                "text": [text_features(t) for t in as_bytes(batch.column(1))],
+                "meta": [meta_features(*x) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)],
+            }
+            for v, rows in found.items():
+                p = sigmoid(np.array([float(model[v][i] @ x) for i, x in rows]))
+                other = found["meta" if v == "text" else "text"]
+                for side, most in wanted.items():
+                    new = [(-(p[k] if side else 1 - p[k]), int(keys[k]), other[k]) for k in surest(p, keys, taught[v], side, most)]
+                    merged = {x[1]: x for x in best[v, side] + new}
+                    best[v, side] = sorted(merged.values(), key=lambda x: x[:2])[:most]
+        out = [(v, side, -s, k, i.tobytes(), x.tobytes()) for (v, side), rows in best.items() for s, k, (i, x) in rows]
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CANDIDATE.split(", ")])
+
+    return free.mapInArrow(work, CANDIDATE)
 
 
 def _featured(docs: DataFrame, extra: str) -> DataFrame:
@@ -155,22 +204,38 @@ def _columns(docs: DataFrame) -> list:
     return ["text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, pool: int = POOL_ROWS) -> dict:
-    """Learns from bounded samples of the labelled and of all documents."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, rounds: int = ROUNDS, picks: int = PICKS) -> dict:
+    """Learns from a bounded sample of the labelled documents and from all others; the result's
+    ``taught`` has how many labels each round gave to each view."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    low = lambda n, k, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, k / max(1, n))) + 1
-    part = known.filter(low(known.count(), rows, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    key = F.xxhash64("doc_id", F.lit(3)).alias("key")
+    least = int((1 << 20) * min(1.0, rows / max(1, known.count()))) + 1
+    part = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < least).groupBy("doc_id").agg(F.max("y").alias("y"))
     has = docs.select("doc_id", *_columns(docs))
+    key = F.xxhash64("doc_id", F.lit(3)).alias("key")
     got = _featured(has.join(F.broadcast(part), "doc_id").select(key, "text", "source", "lang", "n_chars", "y"), "y").collect()
-    free = has.filter(low(docs.count(), pool, 2)).join(F.broadcast(part.select("doc_id")), "doc_id", "left_anti")
-    more = _featured(free.select(key, "text", "source", "lang", "n_chars", F.lit(None).cast("int").alias("y")), "y").collect()
-    got, more = (sorted(x, key=lambda r: (r.key, r.ti, r.tv)) for x in (got, more))
-    view = lambda rs, i, v: [(np.frombuffer(r[i], dtype=np.int32), np.frombuffer(r[v], dtype=np.float32)) for r in rs]
+    got = list({r.key: r for r in sorted(got, key=lambda r: (r.key, r.ti, r.tv, r.mi, r.mv))}.values())
+    unpack = lambda i, v: (np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32))
     y = np.array([1 if r.y else 0 for r in got])
     if len(set(y.tolist())) < 2 or len(y) < 10:
         return {"constant": float(y.mean()) if len(y) else 1.0}
-    return co_train(view(got, "ti", "tv"), view(got, "mi", "mv"), y, view(more, "ti", "tv"), view(more, "mi", "mv"))
+    views = Views([unpack(r.ti, r.tv) for r in got], [unpack(r.mi, r.mv) for r in got], y)
+    free = has.filter("doc_id is not null").join(F.broadcast(part.select("doc_id")), "doc_id", "left_anti").select(key, "text", "source", "lang", "n_chars")
+    taught = []
+    for _ in range(rounds):
+        table = cut(candidates(free, views, picks), "candidates")
+        new = {}
+        for view in views.model:
+            found = []
+            for side, most in views.wanted(picks).items():
+                # Two tasks can hold rows of one id.
+                top = table.filter((F.col("view") == view) & (F.col("side") == side)).groupBy("key").agg(F.max_by(F.struct("score", "i", "v"), "score").alias("x"))
+                found += [(r.key, float(side), unpack(r.x.i, r.x.v)) for r in top.orderBy(F.col("x.score").desc(), "key").limit(most).collect()]
+            new[view] = found
+        for view, found in new.items():
+            views.teach(view, found)
+        taught.append({"meta" if view == "text" else "text": len(found) for view, found in new.items()})
+        views.train()
+    return {**views.combined(), "taught": taught}
 
 
 def classify(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
