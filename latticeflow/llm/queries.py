@@ -25,11 +25,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = F.coalesce(held("doc_id", 4), F.lit(2))
     prototypes = language_id.fit(docs.filter(part != 2))
-    return language_id.identify(docs, prototypes).select("doc_id", (held("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs, prototypes).select("doc_id", (F.coalesce(held("doc_id", 4), F.lit(2)) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False, levels=True)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ from r
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = katz.score(table(spark, sf_dir, "documents"), held("doc_id", 10) != 0)
-    return scored.select("doc_id", (held("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(held("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {

@@ -11,8 +11,9 @@ equal full windows, so all but the first document's are repeats as a whole.  Whe
 several contexts, the first document of each context lists its full windows over the half, and
 those are compared one by one.  What a repeated window of an earlier document covers is removed.
 
-For the longest repeats, ``repeat_lengths`` doubles on: windows repeated at one length alone are
-looked at with twice that length, until no candidates survive.
+The levels go on: windows repeated at one length alone are the picked halves of the next, twice as
+long, until no candidates survive; only documents with a run of repeated windows that long are read.
+The longest level that a document reaches is its ``longest``.
 
 Hashes of halves and of contexts have 64 bits each and are used together; full windows use 128.
 
@@ -117,22 +118,45 @@ def list_windows(docs: DataFrame, open_halves: DataFrame, width: int) -> DataFra
     return docs.join(marks, "doc_id").select("doc_id", "text", "ats").mapInArrow(work, f"doc_id {kind}, at int, w1 long, w2 long")
 
 
-def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, spans): the word ranges that windows of earlier documents cover, where there are any."""
+def longest_run(spans):
+    """The most words in a row that sorted spans cover."""
+    state = F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("best"))
+
+    def join(run, x):
+        lo = F.when(x["lo"] <= run["hi"], run["lo"]).otherwise(x["lo"])
+        hi = F.when(x["lo"] <= run["hi"], F.greatest(run["hi"], x["hi"])).otherwise(x["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.greatest(run["best"], hi - lo).alias("best"))
+
+    return F.aggregate(spans, state, join)["best"]
+
+
+def repeated(docs: DataFrame, width: int = WIDTH, runs: bool = False) -> DataFrame:
+    """(doc_id, spans): the word ranges that windows of earlier documents cover, where there are any.
+
+    With runs also documents whose windows come later only, with no spans, and a column run: the most
+    words in a row that lie in windows of several documents.
+    """
     half = width // 2
     seen = picked_halves(docs.filter("doc_id is not null and text is not null"), width)
+    if width > WIDTH:
+        seen = cut(seen, "seen")  # few enough to keep
     # Level one.  Per half: the documents it lies in, and whether its contexts differ.
     many = seen.groupBy("half").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("first < last")
-    again = cut(seen.join(many.select("half", (F.col("c0") != F.col("c1")).alias("several")), "half"), "halves")
+    many = cut(many.select("half", (F.col("c0") != F.col("c1")).alias("several")), "many")  # a join of two plain sides can be split
+    again = cut(seen.join(many, "half"), "halves")
     # Level two.  A context's first document is open, all others repeat it.
-    first = again.groupBy("half", "context").agg(F.min("doc_id").alias("first"))
-    again = again.join(first, ["half", "context"])
-    whole = again.filter("doc_id > first").select("doc_id", F.greatest(F.lit(0), F.col("at") - (width - half)).alias("lo"), (F.col("at") + width).alias("hi"))
+    first = again.groupBy("half", "context").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    again = again.join(cut(first, "contexts"), ["half", "context"])
+    whole = again.filter("first < last").select("doc_id", F.greatest(F.lit(0), F.col("at") - (width - half)).alias("lo"), (F.col("at") + width).alias("hi"), (F.col("doc_id") > F.col("first")).alias("later"))
     windows = cut(list_windows(docs, again.filter("doc_id = first and several").select("doc_id", "at"), width), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    single = windows.join(least, ["w1", "w2"]).filter("doc_id > first").select("doc_id", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
-    spans = whole.unionByName(single)
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    single = windows.join(cut(least.select("w1", "w2", "first"), "least"), ["w1", "w2"])
+    single = single.select("doc_id", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"), (F.col("doc_id") > F.col("first")).alias("later"))
+    parts = whole.unionByName(single)
+    if not runs:
+        return parts.filter("later").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    each = parts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("all"), F.array_sort(F.collect_set(F.when(F.col("later"), F.struct("lo", "hi")))).alias("spans"))
+    return each.select("doc_id", "spans", longest_run(F.col("all")).alias("run"))
 
 
 def _left(n: int, spans: list) -> np.ndarray:
@@ -147,11 +171,22 @@ def _kept(words: list[bytes], spans: list) -> bytes:
     return b" ".join([words[k] for k in _left(len(words), spans)])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for every document."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, keep_text: bool = True, levels: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept_text][, longest]) for every document.
+
+    With levels, longest is what ``repeat_lengths`` gives, 0 for documents without a repeat.
+    """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text + ["longest"] * levels
+    spans = cut(repeated(docs, width, levels), "spans")
+    if levels:
+        more = _longer(docs, spans, 2 * width)
+        spans = spans.filter(F.size("spans") > 0).drop("run").withColumn("longest", F.lit(width))
+        if more is not None:
+            spans = spans.drop("longest").join(more, "doc_id", "left").withColumn("longest", F.coalesce("longest", F.lit(width)))
+    else:
+        spans = spans.withColumn("longest", F.lit(width))
 
     def work(batches):
         import pyarrow as pa
@@ -171,10 +206,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 cols = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
                 if keep_text:
                     cols.append(pa.array(kept_texts, pa.binary()).cast(pa.string()))
+                if levels:
+                    cols.append(part.column(3))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return docs.join(cut(repeated(docs, width), "spans"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(work, schema)
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + ", longest int" * levels
+    found = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest"))
+    return found.mapInArrow(work, schema)
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", width: int = WIDTH) -> DataFrame:
@@ -208,31 +246,24 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     return docs.join(spans, docs[doc_id] == spans["_span_id"], "left").drop("_span_id").select(*(docs[c] for c in names), "_spans").mapInArrow(work, schema)
 
 
+def _longer(docs: DataFrame, level: DataFrame, width: int) -> DataFrame | None:
+    """(doc_id, longest) for repeats of width words or more, from the level of half that width.
+
+    A window of that width lies in windows of half of it, so only documents with a run so long count.
+    """
+    found = None
+    while (taking := cut(level.filter(F.col("run") >= width).select("doc_id"), "taking")).limit(1).count():
+        level = cut(repeated(docs.join(taking, "doc_id", "left_semi"), width, True), "spans")
+        more = level.filter(F.size("spans") > 0).select("doc_id", F.lit(width).alias("longest"))
+        found = cut(more if found is None else found.unionByName(more).groupBy("doc_id").agg(F.max("longest").alias("longest")), "longest")
+        width *= 2
+    return found
+
+
 def repeat_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", start: int = WIDTH) -> DataFrame:
     """(doc_id, longest): the greatest length start * 2**k of which a document repeats a window of an
     earlier one.  Each level looks only at documents that take part in a repeat of the level before.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found, width = None, start
-    while True:
-
-        def work(batches, width=width):
-            import pyarrow as pa
-
-            for batch in batches:
-                for k, t in enumerate(as_bytes(batch.column(1))):
-                    words = word_hashes(t)
-                    w = np.unique(np.stack([WindowHash(words).windows(width), WindowHash(words, salt=1).windows(width)]), axis=1)
-                    ids = batch.column(0).slice(k, 1).take(pa.array(np.zeros(w.shape[1], dtype=np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(_signed(w[0].copy())), pa.array(_signed(w[1].copy()))], names=["doc_id", "w1", "w2"])
-
-        windows = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, w1 long, w2 long")
-        least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-        taking = cut(windows.join(least, ["w1", "w2"]).groupBy("doc_id").agg(F.max(F.col("doc_id") > F.col("first")).alias("later")), "taking")
-        if not taking.limit(1).count():
-            return found if found is not None else taking.select("doc_id", F.lit(start).alias("longest"))
-        level = taking.filter("later").select("doc_id", F.lit(width).alias("longest"))
-        found = level if found is None else cut(found.unionByName(level).groupBy("doc_id").agg(F.max("longest").alias("longest")), "longest")
-        docs = docs.join(taking.select("doc_id"), "doc_id", "left_semi")
-        width *= 2
+    found = _longer(docs, docs.select("doc_id", F.lit(start).alias("run")).distinct(), start)
+    return found if found is not None else docs.select("doc_id", F.lit(start).alias("longest")).limit(0)
