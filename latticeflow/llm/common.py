@@ -111,6 +111,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def hand_back() -> None:
+    """Gives freed memory back to the machine; the allocators of a worker that is used again and again
+    would keep what large arrays took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy_session(spark: SparkSession) -> SparkSession:
     """A session of the same settings that drops an execution's shuffle files when it has ended.
 
@@ -136,5 +148,14 @@ def cut(df: DataFrame, name: str = "t", reader: SparkSession | None = None) -> D
     return (reader or spark).read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of frames from ``cut`` that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,25 +1,27 @@
 """Katz backoff language model over words, counted and evaluated in packed chunks.
 
-Tokens are the words of a text, A-Z lower-cased, and one end.  A bigram seen r times in training has
-probability d(r) r / c(first word); d(r) is Good-Turing's discount as Katz caps it at ``CAP`` counts.
-Other words share what is left of their context in proportion to discounted unigram probabilities,
-by a weight that makes each context sum to one exactly; words never seen are one unknown word.  Where
-counts of counts give no discount between 0 and 1, it is (r - 0.5) / r; a context without any
-discounted bigram counts one event more, which is what it leaves to unseen words.
-
-How it runs.  Each task folds its documents into chunks of a bounded number of tokens.  A chunk sends
-its distinct words and bigrams, sorted by hash and packed, to the hash ranges they belong to; a range
-adds up the counts and answers each chunk in the order it asked.  So a pair of words costs one entry
-for each chunk and never one for each occurrence, however frequent it is.  Then the chunk's token
-stream meets the answers and scores all that needs no backoff weight.  The weights' sums (each global
-bigram is counted by the first chunk that holds it) go to the words' ranges and back the same way.
-All tables in between are written to the shared folder.
-
-Words and pairs of words are told apart by 64-bit hashes.
+Tokens are the words of a text, A-Z lower-cased, and one end.  An n-gram seen r times in training has
+probability d(r) r / c(its context); d(r) is Good-Turing's discount up to CAP counts, and half a
+count beyond, where Katz takes none off, so that every context leaves something to unseen words.  They
+share what their context leaves in proportion to the probabilities of the next lower order, by a weight
+that makes each context sum to one exactly, and so on down to single words; words never seen are one
+unknown word.  Where counts of counts give no discount between 0 and 1, it is (r - 0.5) / r.  A text's
+first words have the shorter contexts that follow its start.
+
+How it runs.  The corpus is read once: each task folds its documents into chunks of a bounded number
+of tokens, which are stored.  A chunk sends its distinct n-grams of each order, sorted by hash and
+packed, to the hash ranges they belong to; the stored count tables are those ranges' answers, for each
+chunk in the order it asked.  So an n-gram costs one entry for each chunk and never one for each
+occurrence, however frequent it is.  A chunk then evaluates its tokens from the lowest order up.  What
+the backoff weights need is summed in the same way (each n-gram of the corpus is counted by the first
+chunk that holds it) for those contexts alone that occur in a document outside training; elsewhere
+every n-gram is seen and no weight is used.  All tables in between are written to the shared folder.
+
+Words are told apart by 64-bit hashes, longer n-grams by 56 bits.
 
 Defined results: a null or empty text is the end alone; without training documents every word is
-unknown and scores are 0 logarithms of 1; a null id is a training document; equal rows each count
-and each get a result; extra columns are ignored.
+unknown and scores are logarithms of 1; a null id is a training document; equal rows each count
+and each get a result; ids can have any type; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, cut, mix, word_hashes
+from .common import U64, as_bytes, cut, discard, hand_back, mix, tidy_session, word_hashes
 
 CAP = 5
-CHUNK_TOKENS = 3_000_000
-RANGE_BYTES = 16_000_000  # of text for each hash range
+ORDER = 3
+CHUNK_TOKENS = 1_600_000
+RANGE_TOKENS = 1_600_000  # of the corpus for each hash range
+KEPT_BITS = U64((1 << 64) - 256)
 START, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
-SMALL = 1e-12
 
 
 def tokens(text: bytes | None) -> np.ndarray:
@@ -72,244 +75,297 @@ def range_edges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]]).astype(np.int64)
 
 
+class Level:
+    """A chunk's distinct n-grams of one order, sorted by hash."""
+
+    def __init__(self, key: np.ndarray, at: np.ndarray, context: np.ndarray | None = None, lower: np.ndarray | None = None) -> None:
+        self.key, self.at = key, at  # at: the n-gram that ends at each token, -1 where the text is too short
+        self.context, self.lower = context, lower  # of each n-gram its context and itself without its first word
+
+
 class Chunk:
-    """Documents' tokens with the chunk's own vocabulary and pairs, both sorted by hash."""
+    """Documents' tokens, with the chunk's own n-grams of each order."""
+
+    def __init__(self, ids, train: np.ndarray, size: np.ndarray, vocab: np.ndarray, word: np.ndarray) -> None:
+        self.ids, self.train, self.size, self.vocab, self.word = ids, train, size, vocab, word
 
-    def __init__(self, ids: list, train: np.ndarray, stream: list[np.ndarray]) -> None:
-        self.ids, self.train = ids, train
-        self.size = np.array([len(x) for x in stream], dtype=np.int64)
-        self.vocab, self.word = np.unique(np.concatenate(stream), return_inverse=True)
-        self.word = self.word.astype(np.int64).ravel()
-        self.index()
+    @classmethod
+    def of(cls, ids, train: list, stream: list[np.ndarray]) -> Chunk:
+        vocab, word = np.unique(np.concatenate(stream), return_inverse=True)
+        return cls(ids, np.array(train, dtype=bool), np.array([len(x) for x in stream], dtype=np.int64), vocab, word.astype(np.int32).ravel())
 
-    def index(self) -> None:
+    def packed(self) -> bytes:
+        import pickle
+
+        often = np.argsort(-np.bincount(self.word, minlength=len(self.vocab)), kind="stable")
+        rank = np.empty(len(often), dtype=np.uint32)
+        rank[often] = np.arange(len(often))
+        return pickle.dumps((self.ids, np.packbits(self.train).tobytes(), pack(self.size), pack_sorted(self.vocab), pack(np.diff(often, prepend=0).astype(np.int32).view(np.uint32)), pack(rank[self.word])))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Chunk:
+        import pickle
+
+        ids, train, size, vocab, often, word = pickle.loads(data)  # written by packed()
+        size = unpack(size, np.int64)
+        return cls(ids, np.unpackbits(np.frombuffer(train, dtype=np.uint8), count=len(size)).astype(bool), size, unpack_sorted(vocab), np.cumsum(unpack(often, np.int32), dtype=np.int32)[unpack(word, np.uint32)])
+
+    def levels(self, order: int) -> list[Level]:
         n = len(self.vocab)
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         first = np.cumsum(self.size) - self.size
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        self.prev = np.empty_like(self.word)
-        self.prev[1:] = self.word[:-1]
-        self.prev[first] = n  # the start
-        pair, at = np.unique(self.prev * (n + 1) + self.word, return_inverse=True)
+        place = np.arange(len(self.word)) - first[self.doc]
+        out = [Level(self.vocab, self.word)]
         hashes = np.append(self.vocab, START)
-        key = mix(hashes[pair // (n + 1)] * _A ^ mix(hashes[pair % (n + 1)] + _B))
-        order = np.argsort(key, kind="stable")
-        self.key, self.first, self.second = key[order], pair[order] // (n + 1), pair[order] % (n + 1)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.pair = place[at.ravel()]
-
-    def train_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        learns = self.train[self.doc]
-        return np.bincount(self.word[learns], minlength=len(self.vocab)), np.bincount(self.pair[learns], minlength=len(self.key))
+        for k in range(2, order + 1):
+            before = out[-1]
+            here = np.flatnonzero(place >= k - 2)
+            context = np.where(place[here] > 0, before.at[here - 1], n) if k == 2 else before.at[here - 1]
+            gram, where, at = np.unique(context.astype(np.int64) * (n + 1) + self.word[here], return_index=True, return_inverse=True)
+            context = gram // (n + 1)
+            key = mix((hashes if k == 2 else before.key)[context] * _A ^ mix(self.vocab[gram % (n + 1)] + _B)) & KEPT_BITS
+            order_of = np.argsort(key, kind="stable")
+            rank = np.empty(len(order_of), dtype=np.int32)
+            rank[order_of] = np.arange(len(order_of))
+            whole = np.full(len(self.word), -1, dtype=np.int32)
+            whole[here] = rank[at.ravel()]
+            lower = before.at[here[where]]
+            out.append(Level(key[order_of], whole, context[order_of].astype(np.int32), lower[order_of]))
+        return out
 
 
 def chunks_of(batches, chunk_tokens: int):
-    """(number, Chunk) for the documents (doc_id, text, train) of one task, in their order."""
-    ids, train, stream, size, number = [], [], [], 0, 0
+    """Chunks of the documents (doc_id, text, train) of one task, in their order."""
+    import pyarrow as pa
+
+    ids, train, stream, size = [], [], [], 0
     for batch in batches:
-        for i, t, learns in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        lo = 0
+        learns = batch.column(2).to_pylist()
+        for k, t in enumerate(as_bytes(batch.column(1)), 1):
             x = tokens(t)
-            ids.append(i)
-            train.append(learns)
+            train.append(learns[k - 1])
             stream.append(x)
             size += len(x)
             if size >= chunk_tokens:
-                yield number, Chunk(ids, np.array(train, dtype=bool), stream)
-                ids, train, stream, size, number = [], [], [], 0, number + 1
-    if ids:
-        yield number, Chunk(ids, np.array(train, dtype=bool), stream)
-
+                c = Chunk.of(pa.concat_arrays([*ids, batch.column(0).slice(lo, k - lo)]), train, stream)
+                ids, train, stream, size, lo = [], [], [], 0, k
+                yield c
+                c = None
+        if lo < len(batch):
+            ids.append(batch.column(0).slice(lo))
+    if stream:
+        yield Chunk.of(pa.concat_arrays(ids), train, stream)
+
+
+def record_batch(rows: list[tuple], schema: str):
+    """Rows as an Arrow batch; schema names columns of the kinds used here."""
+    import pyarrow as pa
 
-def _number(partition: int, k: int) -> int:
-    return (partition << 24) + k
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    cols = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
 
 
-def discounts(r: list[int]) -> np.ndarray:
-    """d(0..CAP) from counts of counts r[1..CAP + 1]; d(0) is unused."""
-    out = np.ones(CAP + 1)
-    common = (CAP + 1) * r[CAP + 1] / r[1] if r[1] else 1.0
-    for n in range(1, CAP + 1):
-        d = ((n + 1) * r[n + 1] / (n * r[n]) - common) / (1 - common) if r[n] and common != 1 else 0.0
-        out[n] = d if 0 < d < 1 else (n - 0.5) / n
-    return out
+def bits(x: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(x).tobytes())
 
-class Unigrams:
-    """Discounted probabilities by count; what is left is the unknown word's."""
 
-    def __init__(self, r: list[int], total: int) -> None:
-        self.d = discounts(r)
-        lost = sum((1 - self.d[n]) * n * r[n] for n in range(1, CAP + 1))
-        self.total = total if lost > SMALL else total + 1
-        self.unknown = (lost if lost > SMALL else 1.0) / self.total
+def unbits(data: bytes, n: int) -> np.ndarray:
+    import zstandard
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        d = np.where(c > CAP, 1.0, self.d[np.minimum(c, CAP)])
-        return np.where(c > 0, d * c / self.total, self.unknown)
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8), count=n).astype(bool)
 
 
-ASKED = "kind int, part int, chunk long, keys binary, counts binary"
-ANSWER = "chunk long, kind int, part int, n long, counts binary, owner binary, types long, total long, r array<long>"
-PIECE = "chunk long, kind int, part int, n long, counts binary, owner binary"
+STREAM = "chunk long, tokens long, data binary"
+ASKED = "kind int, part int, chunk long, keys binary, counts binary, held binary"
+ANSWER = "chunk long, kind int, part int, n long, counts binary, owner binary, held binary, types long, total long, r array<long>"
 
 
-def ask(docs: DataFrame, parts: int, chunk_tokens: int) -> DataFrame:
-    """Each chunk's words (kind 1) and pairs (kind 2), by hash range."""
+def streams(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(chunk, tokens, data): the corpus in packed chunks."""
 
     def work(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        here = TaskContext.get().partitionId()
-        for number, c in chunks_of(batches, chunk_tokens):
-            for kind, keys, counts in zip((1, 2), (c.vocab, c.key), c.train_counts(), strict=True):
-                edge = range_edges(keys, parts)
-                rows = [(kind, p, _number(here, number), pack_sorted(keys[a:b]), pack(counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in ASKED.split(", ")])
+        here = TaskContext.get().partitionId() << 24
+        for k, c in enumerate(chunks_of(batches, chunk_tokens)):
+            yield record_batch([(here + k, len(c.word), c.packed())], STREAM)
+            c = None
+            hand_back()
 
-    return docs.mapInArrow(work, ASKED)
+    return docs.mapInArrow(work, STREAM)
+
+
+def ask(chunks: DataFrame, parts: int, order: int) -> DataFrame:
+    """Each chunk's n-grams by order (kind) and hash range: training counts, and whether they occur
+    outside training."""
+
+    def work(batches):
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                c = Chunk.unpacked(data)
+                levels = c.levels(order)
+                learns = c.train[c.doc]
+                for kind, level in enumerate(levels, 1):
+                    there = level.at >= 0
+                    counts = np.bincount(level.at[learns & there], minlength=len(level.key)).astype(np.uint32)
+                    held = np.bincount(level.at[~learns & there], minlength=len(level.key)) > 0
+                    edge = range_edges(level.key, parts)
+                    yield record_batch([(kind, p, chunk, pack_sorted(level.key[a:b]), pack(counts[a:b]), bits(held[a:b])) for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a], ASKED)
+                c = levels = level = learns = there = counts = held = None  # before the next chunk comes
+                hand_back()
+
+    return chunks.mapInArrow(work, ASKED)
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """Total counts for each chunk in its own order, and one row of counts of counts for each range."""
-    names = [x.split()[0] for x in ANSWER.split(", ")]
+    """The count tables: training counts for each chunk in its own order, who counts an n-gram, and
+    whether it occurs outside training; and one row of counts of counts for each range."""
 
     def work(table):
         import pyarrow as pa
 
+        hand_back()
         table = table.sort_by("chunk")
         kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
         chunks = table["chunk"].to_pylist()
         keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-        counts = np.concatenate([unpack(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
         size = [len(k) for k in keys]
+        counts = np.concatenate([unpack(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+        held = np.concatenate([unbits(x, n) for x, n in zip(table["held"].to_pylist(), size, strict=True)])
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
-        s, c = flat[order], counts[order]
+        s = flat[order]
         begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        total = np.add.reduceat(c, begin)
-        every = np.repeat(total, np.diff(np.append(begin, len(s))))
-        out = np.empty(len(s), dtype=np.int64)
-        out[order] = every
-        owner = np.zeros(len(s), dtype=np.uint8)
-        if kind == 2:
-            first = np.minimum.reduceat(np.where(c > 0, np.arange(len(s)), len(s)), begin)
-            owner[order[first[first < len(s)]]] = 1
+        group = np.empty(len(s), dtype=np.int64)
+        group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(s))))
+        total = np.add.reduceat(counts[order], begin)
+        anywhere = np.logical_or.reduceat(held[order], begin)
+        first = np.minimum.reduceat(np.where(counts[order] > 0, np.arange(len(s)), len(s)), begin)
+        owner = np.zeros(len(s), dtype=bool)
+        owner[order[first[first < len(s)]]] = True
         edge = np.cumsum([0, *size])
-        rows = [(k, kind, part, b - a, pack(out[a:b]), np.packbits(owner[a:b]).tobytes() if kind == 2 else None, None, None, None) for k, a, b in zip(chunks, edge, edge[1:], strict=False)]
+        rows = [(k, kind, part, b - a, pack(total[group[a:b]]), bits(owner[a:b]), bits(anywhere[group[a:b]]), None, None, None) for k, a, b in zip(chunks, edge, edge[1:], strict=False)]
         r = np.bincount(total[total <= CAP + 1], minlength=CAP + 2)
-        rows.append((None, kind, part, 0, None, None, int((total > 0).sum()), int(total.sum()), r.tolist()))
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        rows.append((None, kind, part, 0, None, None, None, int((total > 0).sum()), int(total.sum()), r.tolist()))
+        return pa.Table.from_batches([record_batch(rows, ANSWER)])
 
     return asked.groupBy("kind", "part").applyInArrow(work, ANSWER)
 
 
-def streams(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """Each chunk's documents and token stream (kind 0), as pieces that meet its answers."""
-
-    def work(batches):
-        import pickle
+def discounts(r: list[int]) -> np.ndarray:
+    """d(0..CAP) from counts of counts r[1..CAP + 1]; d(0) is unused."""
+    out = np.ones(CAP + 1)
+    common = (CAP + 1) * r[CAP + 1] / r[1] if r[1] else 1.0
+    for n in range(1, CAP + 1):
+        d = ((n + 1) * r[n + 1] / (n * r[n]) - common) / (1 - common) if r[n] and common != 1 else 0.0
+        out[n] = d if 0 < d < 1 else (n - 0.5) / n
+    return out
 
-        import pyarrow as pa
-        from pyspark import TaskContext
 
-        here = TaskContext.get().partitionId()
-        for number, c in chunks_of(batches, chunk_tokens):
-            often = np.argsort(-np.bincount(c.word, minlength=len(c.vocab)), kind="stable")
-            rank = np.empty(len(often), dtype=np.uint32)
-            rank[often] = np.arange(len(often))
-            data = pickle.dumps((c.ids, c.train.tobytes(), pack(c.size), pack_sorted(c.vocab), pack(often.astype(np.uint32)), pack(rank[c.word])))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((_number(here, number), 0, 0, len(c.ids), data, None), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in PIECE.split(", ")])
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What counts are worth."""
+    return np.where(c > CAP, c - 0.5, d[np.minimum(c, CAP)] * c)
 
-    return docs.mapInArrow(work, PIECE)
 
+class Unigrams:
+    """Discounted probabilities by count; what is left is the unknown word's."""
 
-def _restore(data: bytes) -> Chunk:
-    import pickle
+    def __init__(self, r: list[int], total: int, types: int) -> None:
+        self.d, self.total = discounts(r), max(total, 1)
+        lost = sum((1 - self.d[n]) * n * r[n] for n in range(1, CAP + 1)) + 0.5 * (types - sum(r[1 : CAP + 1]))
+        self.unknown = lost / self.total if total else 1.0
 
-    c = Chunk.__new__(Chunk)
-    ids, train, size, vocab, often, word = pickle.loads(data)  # written by streams()
-    c.ids, c.train, c.size, c.vocab = ids, np.frombuffer(train, dtype=bool), unpack(size, np.int64), unpack_sorted(vocab)
-    c.word = unpack(often, np.uint32).astype(np.int64)[unpack(word, np.uint32)]
-    c.index()
-    return c
+    def p(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, discounted(c, self.d) / self.total, self.unknown)
 
 
-def _joined(table, kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A kind's counts and owner bits over all ranges; they must answer the chunk as it is."""
-    rows = sorted((p, n, c, o) for k, p, n, c, o in zip(*(table[x].to_pylist() for x in ("kind", "part", "n", "counts", "owner")), strict=True) if k == kind)
-    if sum(r[1] for r in rows) != size:
-        raise RuntimeError("the documents changed between two passes over them")
-    counts = np.concatenate([unpack(c, np.int64) for _, _, c, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
-    owner = np.concatenate([np.unpackbits(np.frombuffer(o, dtype=np.uint8), count=n) for _, n, _, o in rows]) if rows and kind == 2 else np.zeros(0, dtype=np.uint8)
-    return counts, owner.astype(bool)
+PIECE = "chunk long, kind int, part int, n long, counts binary, owner binary, held binary"
+SUMS = "chunk long, kind int, part int, data binary"
 
 
-SUMS = "chunk long, kind int, part int, data binary"
+def _answers(table, kind: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A kind's counts, owner and held bits over all ranges."""
+    rows = sorted(((p, n, c, o, h) for k, p, n, c, o, h in zip(*(table[x].to_pylist() for x in ("kind", "part", "n", "counts", "owner", "held")), strict=True) if k == kind), key=lambda r: r[0])
+    if sum(r[1] for r in rows) != size:
+        raise RuntimeError("counts are missing")
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+    return np.concatenate([unpack(r[2], np.int64) for r in rows]), np.concatenate([unbits(r[3], r[1]) for r in rows]), np.concatenate([unbits(r[4], r[1]) for r in rows])
 
 
-def first_scores(pieces: DataFrame, words: dict, pairs: dict, parts: int) -> DataFrame:
-    """For each chunk its documents' scores so far (kind 0), and sums for weights by range (kind 1)."""
-    uni, d2, total, types = Unigrams(words["r"], words["total"]), discounts(pairs["r"]), words["total"], words["types"]
+def first_scores(pieces: DataFrame, stat: dict[int, dict], parts: int, order: int) -> DataFrame:
+    """For each chunk its documents' scores but for backoff weights (kind 0), and by context range the
+    sums that the weights need (kind: the order of their n-grams)."""
+    uni, total, types = Unigrams(stat[1]["r"], stat[1]["total"], stat[1]["types"]), stat[1]["total"], stat[1]["types"]
+    ds = {n: discounts(stat[n]["r"]) for n in range(2, order + 1)}
 
     def work(table):
         import pickle
 
         import pyarrow as pa
 
+        hand_back()
         chunk = table["chunk"][0].as_py()
-        data = [x for k, x in zip(table["kind"].to_pylist(), table["counts"].to_pylist(), strict=True) if k == 0]
-        if len(data) != 1:
-            raise RuntimeError("the documents changed between two passes over them")
-        c = _restore(data[0])
-        n = len(c.vocab)
-        wc, _ = _joined(table, 1, n)
-        pc, owner = _joined(table, 2, len(c.key))
-        p1 = uni.p(wc)
-        docs, ends = len(c.ids), int(wc[np.searchsorted(c.vocab, END)])
-        context = np.append(wc, ends)  # as many starts as ends
-        base = np.log10((wc + 0.1) / (total + 0.1 * (types + 1)))
+        c = Chunk.unpacked(next(x for k, x in zip(table["kind"].to_pylist(), table["counts"].to_pylist(), strict=True) if k == 0))
+        levels = c.levels(order)
+        docs = len(c.size)
         add = lambda x: np.bincount(c.doc, weights=x, minlength=docs)
-        d = np.where(pc > CAP, 1.0, d2[np.minimum(pc, CAP)])
-        seen = pc > 0
-        each = np.where(seen, np.log10(np.where(seen, d * pc, 1.0)) - np.log10(np.maximum(context[c.first], 1)), np.log10(p1[c.second]))
-        # Contexts whose weight or extra event is still open.
-        has_small = np.bincount(c.first[seen & (pc <= CAP)], minlength=n + 1) > 0
-        unseen_at = ~seen[c.pair] & (context[c.prev] > 0)
-        extra_at = seen[c.pair] & ~has_small[c.prev] & (context[c.prev] > CAP)
-        lists = []
-        for at in (unseen_at, extra_at):
-            code, many = np.unique(c.doc[at] * (n + 1) + c.prev[at], return_counts=True)
-            lists.append((pack((code // (n + 1)).astype(np.uint32)), pack((code % (n + 1)).astype(np.uint32)), pack(many.astype(np.uint32))))
-        needed = np.zeros(n + 1, dtype=bool)
-        needed[c.prev[unseen_at | extra_at]] = True
-        mine = owner & seen
-        s1 = np.bincount(c.first[mine], weights=p1[c.second[mine]], minlength=n + 1)
-        small = mine & (pc <= CAP)
-        lost = np.bincount(c.first[small], weights=(1 - d[small]) * pc[small], minlength=n + 1)
-        hashes = np.append(c.vocab, START)
-        use = np.flatnonzero(needed | (s1 > 0))
-        use = use[np.argsort(hashes[use], kind="stable")]
-        edge = range_edges(hashes[use], parts)
-        rows = [(chunk, 1, p, pickle.dumps((pack_sorted(hashes[u]), pack(s1[u]), pack(lost[u]), np.packbits(needed[u]).tobytes()))) for p, u in ((p, use[a:b]) for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False))) if len(u)]
-        order = np.flatnonzero(needed)
-        order = order[np.argsort(hashes[order], kind="stable")]
-        rows.append((chunk, 0, 0, pickle.dumps((c.ids, c.train.tobytes(), pack(c.size), pack(add(wc[c.word] > 0).astype(np.int64)), pack(add(base[c.word])), pack(add(each[c.pair])), lists, pack(order.astype(np.uint32)), pack(context[order])))))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "part", "data"])
+        count, _, held = _answers(table, 1, len(c.vocab))
+        p = uni.p(count)  # of each n-gram of the level below
+        known, base = add((count > 0)[c.word]).astype(np.int64), add(np.log10((count + 0.1) / (total + 0.1 * (types + 1)))[c.word])
+        score = np.log10(p)[c.word]
+        # As many texts start as end, and some start is outside training.
+        count, held = np.append(count, count[np.searchsorted(c.vocab, END)]), np.append(held, True)
+        keys = np.append(c.vocab, START)
+        rows, waits = [], []
+        for n, level in enumerate(levels[1:], 2):
+            mine, owner, anywhere = _answers(table, n, len(level.key))
+            seen, context = mine > 0, count[level.context]
+            value = np.where(seen, discounted(mine, ds[n]) / np.maximum(context, 1), 0.0)
+            there = level.at >= 0
+            gram = np.where(there, level.at, 0)
+            if len(level.key):
+                hit = there & seen[gram]
+                score = np.where(hit, np.log10(np.where(seen, value, 1.0))[gram], score)
+                at = np.flatnonzero(there & ~hit & (context[gram] > 0))
+            else:
+                at = np.zeros(0, dtype=np.int64)
+            code, many = np.unique(c.doc[at].astype(np.int64) * len(keys) + level.context[gram[at]], return_counts=True)
+            needed = np.zeros(len(keys), dtype=bool)
+            needed[code % len(keys)] = True
+            use = owner & seen & held[level.context]
+            s = np.bincount(level.context[use], weights=p[level.lower[use]], minlength=len(keys))
+            lost = np.bincount(level.context[use], weights=mine[use] - discounted(mine[use], ds[n]), minlength=len(keys))
+            send = np.flatnonzero(needed | (lost > 0))
+            send = send[np.argsort(keys[send], kind="stable")]
+            edge = range_edges(keys[send], parts)
+            rows += [(chunk, n, q, pickle.dumps((pack_sorted(keys[u]), pack(s[u]), pack(lost[u]), bits(needed[u])))) for q, u in ((q, send[a:b]) for q, (a, b) in enumerate(zip(edge, edge[1:], strict=False))) if len(u)]
+            asked = np.flatnonzero(needed)
+            asked = asked[np.argsort(keys[asked], kind="stable")]
+            place = np.zeros(len(keys), dtype=np.int64)
+            place[asked] = np.arange(len(asked))
+            waits.append((n, pack((code // len(keys)).astype(np.uint32)), pack(place[code % len(keys)].astype(np.uint32)), pack(many.astype(np.uint32)), pack(count[asked])))
+            p, count, held, keys = value, mine, anywhere, level.key
+        rows.append((chunk, 0, 0, pickle.dumps((c.ids, np.packbits(c.train).tobytes(), pack(c.size), pack(known), pack(base), pack(add(score)), waits))))
+        return pa.Table.from_batches([record_batch(rows, SUMS)])
 
     return pieces.groupBy("chunk").applyInArrow(work, SUMS)
 
 
 def weight_sums(sums: DataFrame) -> DataFrame:
-    """Adds up the sums of each context and answers the chunks that need them (kind 2)."""
+    """Adds up the sums of each context and answers the chunks that need them (kind: below 0)."""
 
     def work(table):
         import pickle
 
         import pyarrow as pa
 
+        hand_back()
         table = table.sort_by("chunk")
         rows = [pickle.loads(x) for x in table["data"].to_pylist()]  # written by first_scores()
         keys = [unpack_sorted(r[0]) for r in rows]
@@ -325,13 +381,13 @@ def weight_sums(sums: DataFrame) -> DataFrame:
             out.append(y)
         edge = np.cumsum([0, *map(len, keys)])
         answers = []
-        for r, a, b in zip(rows, edge, edge[1:], strict=False):
-            needed = np.unpackbits(np.frombuffer(r[3], dtype=np.uint8), count=b - a).astype(bool)
-            answers.append(pickle.dumps((pack(out[0][a:b][needed]), pack(out[1][a:b][needed]))))
-        n = len(answers)
-        return pa.table([table["chunk"].combine_chunks(), pa.array([2] * n, pa.int32()), table["part"].combine_chunks(), pa.array(answers, pa.binary())], names=["chunk", "kind", "part", "data"])
+        for chunk, kind, part, r, a, b in zip(*(table[x].to_pylist() for x in ("chunk", "kind", "part")), rows, edge, edge[1:], strict=False):
+            needed = unbits(r[3], b - a)
+            if needed.any():
+                answers.append((chunk, -kind, part, pickle.dumps((pack(out[0][a:b][needed]), pack(out[1][a:b][needed])))))
+        return pa.Table.from_batches([record_batch(answers, SUMS)])
 
-    return sums.filter("kind = 1").groupBy("part").applyInArrow(work, SUMS)
+    return sums.filter("kind > 0").groupBy("kind", "part").applyInArrow(work, SUMS)
 
 
 def finish(sums: DataFrame, weights: DataFrame, kind: str) -> DataFrame:
@@ -343,55 +399,47 @@ def finish(sums: DataFrame, weights: DataFrame, kind: str) -> DataFrame:
 
         import pyarrow as pa
 
-        got = sorted((p, x) for k, p, x in zip(*(table[x].to_pylist() for x in ("kind", "part", "data")), strict=True) if k == 2)
-        data = next(x for k, x in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True) if k == 0)
-        ids, train, size, known, base, score, lists, order, context = pickle.loads(data)
+        hand_back()
+        data, parts = None, {}
+        for k, q, x in zip(*(table[x].to_pylist() for x in ("kind", "part", "data")), strict=True):
+            if k == 0:
+                data = x
+            else:
+                parts.setdefault(-k, []).append((q, x))
+        ids, train, size, known, base, score, waits = pickle.loads(data)  # written by first_scores()
         size, known, base, score = unpack(size, np.int64), unpack(known, np.int64), unpack(base, np.float64), unpack(score, np.float64)
-        order, context = unpack(order, np.uint32), unpack(context, np.int64)
-        both = [pickle.loads(x) for _, x in got]
-        s1, lost = (np.concatenate([unpack(x[k], np.float64) for x in both]) if both else np.zeros(0) for k in (0, 1))
-        if len(s1) != len(order):
-            raise RuntimeError("weights are missing")
-        bare = lost <= SMALL
-        count = np.maximum(context + bare, 1)
-        left = np.where(bare, 1.0, lost) / count
-        alpha = np.log10(left / np.maximum(1.0 - s1, 1e-300))
-        more = np.log10(np.maximum(context, 1)) - np.log10(count)
-        place = np.zeros(int(order.max()) + 1 if len(order) else 0, dtype=np.int64)
-        place[order] = np.arange(len(order))
-        for (doc, word, many), value in zip(lists, (alpha, more), strict=True):
-            doc, word, many = unpack(doc, np.uint32), unpack(word, np.uint32), unpack(many, np.uint32)
-            score = score + np.bincount(doc, weights=value[place[word]] * many, minlength=len(score))
-        types = (table_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(x, t) for x, t in zip((ids, np.frombuffer(train, dtype=bool), size, known, base, score), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    import pyarrow as pa
+        for n, doc, at, many, context in waits:
+            doc, at, many, context = (unpack(x, t) for x, t in zip((doc, at, many, context), (np.uint32, np.uint32, np.uint32, np.int64), strict=True))
+            both = [pickle.loads(x) for _, x in sorted(parts.get(n, []))]
+            s, lost = (np.concatenate([unpack(x[k], np.float64) for x in both]) if both else np.zeros(0) for k in (0, 1))
+            if len(s) != len(context):
+                raise RuntimeError("weights are missing")
+            alpha = np.log10(lost / np.maximum(context, 1)) - np.log10(np.maximum(1.0 - s, 1e-300))
+            score = score + np.bincount(doc, weights=alpha[at] * many, minlength=len(score))
+        train = np.unpackbits(np.frombuffer(train, dtype=np.uint8), count=len(size)).astype(bool)
+        return pa.table([ids, *map(pa.array, (train, size, known, base, score))], names=[x.split()[0] for x in schema.split(", ")])
 
-    table_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return sums.filter("kind = 0").unionByName(weights).groupBy("chunk").applyInArrow(work, schema)
 
 
-def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
-    train is a condition that says which documents to learn from.
+    train is a condition that says which documents to learn from; order is the model's, from 2.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    parts = max(8, -(-size // range_bytes))
-    # Both passes over the documents must cut the input alike, whatever executors come or go.
-    least = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    spark.conf.set("spark.sql.files.minPartitionNum", least or str(spark.sparkContext.defaultParallelism))
-    try:
-        answers = cut(answer(ask(docs, parts, chunk_tokens)), "counts")
-        rows = {r.kind: r for r in answers.filter("chunk is null").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total"), *(F.sum(F.col("r")[i]).alias(f"r{i}") for i in range(CAP + 2))).collect()}
-        stat = {k: {"types": rows[k].types, "total": rows[k].total, "r": [0] + [rows[k][f"r{i}"] for i in range(1, CAP + 2)]} if k in rows else {"types": 0, "total": 0, "r": [0] * (CAP + 2)} for k in (1, 2)}
-        pieces = streams(docs, chunk_tokens).unionByName(answers.filter("chunk is not null").select("chunk", "kind", "part", "n", "counts", "owner"))
-        sums = cut(first_scores(pieces, stat[1], stat[2], parts), "scores")
-    finally:
-        if least is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
+    # What has been asked is large and not needed once it is answered.
+    chunks = cut(streams(docs, chunk_tokens), "chunks", tidy_session(spark))
+    size = chunks.agg(F.sum("tokens").alias("n")).first().n or 0
+    parts = max(8, -(-size // range_tokens))
+    answers = cut(answer(ask(chunks, parts, order)), "counts")
+    found = {r.kind: r for r in answers.filter("chunk is null").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total"), *(F.sum(F.col("r")[i]).alias(f"r{i}") for i in range(CAP + 2))).collect()}
+    stat = {n: {"types": found[n].types, "total": found[n].total, "r": [0] + [found[n][f"r{i}"] for i in range(1, CAP + 2)]} if n in found else {"types": 0, "total": 0, "r": [0] * (CAP + 2)} for n in range(1, order + 1)}
+    none = F.lit(None).cast("binary")
+    pieces = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.col("data").alias("counts"), none.alias("owner"), none.alias("held"))
+    pieces = pieces.unionByName(answers.filter("chunk is not null").select(*(x.split()[0] for x in PIECE.split(", "))))
+    sums = cut(first_scores(pieces, stat, parts, order), "scores", spark)
+    discard(chunks, answers)
     out = finish(sums, weight_sums(sums), kind)
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(stat[1]["total"]).cast("long").alias("train_tokens"), "base_score", "score")

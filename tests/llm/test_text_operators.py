@@ -85,6 +85,24 @@ def test_substring_dedup_matches_brute_force(docs, texts, width):
         assert got[i].kept_sha256 == hashlib.sha256(" ".join(k).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("width", [50, 12])
+def test_levels_of_repeats_match_brute_force(docs, texts, width):
+    split, longest, at = [words(t) for t in texts], [0] * len(texts), width
+    while True:
+        first: dict = {}
+        for i, w in enumerate(split):
+            for s in range(len(w) - at + 1):
+                if first.setdefault(tuple(w[s : s + at]), i) < i:
+                    longest[i] = at
+        if at not in longest:
+            break
+        at *= 2
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, width=width, levels=True).collect()}
+    assert max(longest) > width and [got[i].longest for i in range(len(texts))] == longest
+    plain = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, width=width).collect()}
+    assert all(plain[i].kept_sha256 == got[i].kept_sha256 for i in plain)
+
+
 def test_cut_repeats_keeps_columns_and_untouched_texts(docs, texts):
     _, kept = brute_repeats(texts, 50)
     got = substring_dedup.cut_repeats(docs)
@@ -142,6 +160,32 @@ def test_near_duplicates_follow_chains_within_one_list(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(at))
 
 
+@pytest.mark.parametrize(("num", "long_k"), [(85, near_dedup.LONG), (80, near_dedup.LONG), (85, 100)])
+def test_near_duplicates_in_a_crowd_without_many_links(spark, num, long_k):
+    """Copies of one text, most of them edited too much to be linked; a long sketch samples or not."""
+    rnd = random.Random(num)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for n in range(160):
+        w = list(base)
+        for k in rnd.sample(range(150), rnd.choice([0, 1, 1, 2, 3, 3, 4, 6])):
+            w[k] = f"x{n}_{k}"
+        texts.append(" ".join(w[: rnd.choice([150, 150, 149, 140])]))
+    _, at = brute_near(texts, num)
+    assert 5 < len(set(at)) < 150
+    got = near_dedup.near_duplicates(frame(spark, texts), num=num, long_k=long_k)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(at))
+
+
+def test_parities_bound_the_difference():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        values = np.unique(rnd.integers(0, 1 << 62, 400).astype(np.uint64))
+        a, b = values[rnd.random(len(values)) < 0.9], values[rnd.random(len(values)) < 0.9]
+        bits = sum(int(x).bit_count() for x in (near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_defined_cases(spark):
     rows = [(4, "a b c d e f"), (4, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (7, None), (8, "")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -222,7 +266,7 @@ def test_contaminated_matches_brute_force(spark):
     for d, t in enumerate(texts):
         for i, x in enumerate(items):
             x, n = decontaminate.normal(x or ""), decontaminate.normal(t or "")
-            if len(x) >= decontaminate.MIN_CHARS:
+            if x:
                 e, end = edit_to_substring(x, n)
                 if e <= int(len(x) * decontaminate.BUDGET):
                     expected.add((d, i, e, end))
@@ -276,6 +320,7 @@ def test_quality_model_learns_from_both_views(spark):
     good = [r for r in rows if r.quality]
     assert sum(r.kept for r in good) / len(good) > 0.97
     assert found.filter("doc_id < 0").filter("score between 0 and 1").count() == 3
+    assert len(model["taught"]) == quality_model.ROUNDS and all(t["meta"] > 0 for t in model["taught"])
     assert quality_model.fit(docs, labels.limit(0)) == {"constant": 1.0}
     assert quality_model.classify(docs.limit(0), {"constant": 1.0}).count() == 0
 
@@ -461,51 +506,67 @@ def test_rules_separate_and_apply_in_order(spark):
     assert "Python" not in quality_rules.apply_rules(docs, rules)._jdf.queryExecution().toString()
 
 
-def brute_katz(texts, learns):
+def brute_katz(texts, learns, order):
+    """Counts of whole n-grams and the recursion over orders, one word at a time."""
     split = [[w.encode() for w in words((t or "").translate({c: c + 32 for c in range(65, 91)}))] + ["end"] for t in texts]
-    uni, pair = collections.Counter(), collections.Counter()
+    counts = [collections.Counter() for _ in range(order + 1)]
     for w, ok in zip(split, learns, strict=True):
         if ok:
-            uni.update(w)
-            pair.update(zip(["start", *w], w, strict=False))
-    total, types = sum(uni.values()), len(uni)
-    r = [[0] + [sum(c == k for c in x.values()) for k in range(1, katz.CAP + 2)] for x in (uni, pair)]
-    d1, d2 = map(katz.discounts, r)
-    lost = sum((1 - d1[c]) * c for c in uni.values() if c <= katz.CAP)
-    bare = lost <= 1e-12
-    total1 = total + bare
-    p1 = lambda w: (d1[uni[w]] if uni[w] <= katz.CAP else 1) * uni[w] / total1 if uni[w] else (1 if bare else lost) / total1
+            w = ["start", *w]
+            for n in range(1, order + 1):
+                counts[n].update(tuple(w[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(w)))
     after = collections.defaultdict(dict)
-    for (a, b), c in pair.items():
-        after[a][b] = c
-
-    def p(a, b):
-        if a not in after:
-            return p1(b)
-        lost = sum((1 - d2[c]) * c for c in after[a].values() if c <= katz.CAP)
-        n = sum(after[a].values()) + (lost <= 1e-12)
-        if b in after[a]:
-            c = after[a][b]
-            return (d2[c] if c <= katz.CAP else 1) * c / n
-        return (1 if lost <= 1e-12 else lost) / n / (1 - sum(map(p1, after[a]))) * p1(b)
-
-    return split, uni, total, types, p, after
-
-
-def test_katz_matches_brute_force_and_sums_to_one(spark, docs, texts):
+    for n in range(2, order + 1):
+        for g, c in counts[n].items():
+            after[g[:-1]][g[-1]] = c
+    d = [None] + [katz.discounts([0] + [sum(c == k for c in counts[n].values()) for k in range(1, katz.CAP + 2)]) for n in range(1, order + 1)]
+    worth = lambda n, c: d[n][c] * c if c <= katz.CAP else c - 0.5
+    total = sum(counts[1].values())
+    unknown = sum(c - worth(1, c) for c in counts[1].values()) / total
+    weights = {}
+
+    def p(context, w):
+        if not context:
+            c = counts[1][w,]
+            return worth(1, c) / total if c else unknown
+        seen, n = after.get(context, {}), len(context) + 1
+        if w in seen:
+            return worth(n, seen[w]) / sum(seen.values())
+        if not seen:
+            return p(context[1:], w)
+        if context not in weights:
+            left = sum(c - worth(n, c) for c in seen.values()) / sum(seen.values())
+            weights[context] = left / (1 - sum(p(context[1:], x) for x in seen))
+        return weights[context] * p(context[1:], w)
+
+    return split, counts, p, after
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_matches_brute_force_and_sums_to_one(spark, docs, texts, order):
     learns = [zlib.crc32(str(i).encode()) % 3 != 0 for i in range(len(texts))]
-    split, uni, total, types, p, after = brute_katz(texts, learns)
-    for a in ["start", "nowhere", *list(after)[:40]]:
+    split, counts, p, after = brute_katz(texts, learns, order)
+    uni, total = {g[0]: c for g, c in counts[1].items()}, sum(counts[1].values())
+    for a in [("start",), ("nowhere",), *[g for g in after if len(g) == order - 1][:30]]:
         assert sum(p(a, b) for b in uni) + p(a, "unknown") == pytest.approx(1, abs=1e-9)
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 0
     for chunk in (katz.CHUNK_TOKENS, 150):
-        rows = {r.doc_id: r for r in katz.score(docs, train, chunk_tokens=chunk).collect()}
+        rows = {r.doc_id: r for r in katz.score(docs, train, order=order, chunk_tokens=chunk).collect()}
         assert len(rows) == len(texts)
         for i, w in enumerate(split):
-            r = rows[i]
+            r, w2 = rows[i], ["start", *w]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in uni for x in w), total)
-            assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (types + 1))) for x in w))
-            assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["start", *w], w, strict=False)), abs=1e-6), i
+            assert r.base_score == pytest.approx(sum(math.log10((uni.get(x, 0) + 0.1) / (total + 0.1 * (len(uni) + 1))) for x in w))
+            assert r.score == pytest.approx(sum(math.log10(p(tuple(w2[max(0, k - order + 1) : k]), w2[k])) for k in range(1, len(w2))), abs=1e-6), i
+
+
+def test_katz_ids_of_any_type_and_repeated_rows(spark):
+    for kind, ids in (("smallint", [1, 1, 2, None]), ("string", ["a", "a", "b", None]), ("decimal(10,2)", [None] * 4)):
+        rows = spark.createDataFrame([(i, "x y z x y", "clash") for i in ids], "doc_id string, text string, score string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = katz.score(rows, F.lit(True))
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        got = got.collect()
+        assert len(got) == 4 and len({r.score for r in got}) == 1 and {r.train_tokens for r in got} == {24}
 
 
 def test_katz_without_training_or_rows(spark, docs):
