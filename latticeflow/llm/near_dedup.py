@@ -15,7 +15,8 @@
    list's members outside their own component; a pivot that has met all is done.  A list whose
    members lie in one component is finished.  The rounds end when all lists are finished, so no
    link between two components is lost.  A pair of a crowd meets in its first common list alone.
-4. Candidates pass a size bound and the union sketch's estimate; exact Jaccard on full sets decides:
+4. Candidates pass a size bound, in crowds a bound on the difference (parities of the values by hash,
+   which differ in no more bits than the sets in values), and the union sketch's estimate; exact Jaccard on full sets decides:
    on sketches that hold whole sets, else on whole texts.  A document is sent once to each cell of
    pairs that it has part in.
 
@@ -39,6 +40,8 @@ from .components import components
 
 SHINGLE, K, MISS = 5, 48, 1e-10
 LONG, STEP = 384, 1.04  # values in the sketches of crowded lists' members; ratio of size classes
+PARITY = 8  # words of 64 bits that tell sets apart without a comparison
+SIG = "struct<" + ", ".join(f"w{i}: long" for i in range(PARITY)) + ">"
 CELL = 4_000_000  # shingles, over all pairs, that are compared in one place
 SMALL, PIVOTS = 32, 64  # lists up to SMALL close in the second round; larger ones take PIVOTS, then four times as many a round
 
@@ -106,8 +109,16 @@ def rare_lists(reps: DataFrame, overlap: int, num: int) -> DataFrame:
     return rare.join(cut(rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "often"), "v").select("v", "doc", "n", "m")
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """PARITY words of bits, each the parity of the values that fall on it.  Two sets' words differ in
+    no more bits than the sets differ in values."""
+    bits = np.bincount((values % U64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def long_sketches(texts: DataFrame, k: int, size: int) -> DataFrame:
-    """(doc, n, vs): sketches of k values; a set of no more values is there as a whole."""
+    """(doc, n, vs, sig): sketches of k values (a set of no more values is there as a whole), and the
+    parity words of whole sets."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def work(batches):
@@ -117,9 +128,11 @@ def long_sketches(texts: DataFrame, k: int, size: int) -> DataFrame:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 sets = [shingle_set(t, size) for t in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([(s[:k] >> U64(1)).astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "n", "vs"])
+                words = np.array([parity(s) for s in sets]).reshape(-1, PARITY).T
+                sig = pa.StructArray.from_arrays([pa.array(w) for w in words], names=[f"w{i}" for i in range(PARITY)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([(s[:k] >> U64(1)).astype(np.int64) for s in sets], pa.list_(pa.int64())), sig], names=["doc", "n", "vs", "sig"])
 
-    return texts.select("doc", "text").mapInArrow(work, f"doc {kind}, n long, vs array<long>")
+    return texts.select("doc", "text").mapInArrow(work, f"doc {kind}, n long, vs array<long>, sig {SIG}")
 
 
 def size_class(n):
@@ -128,7 +141,7 @@ def size_class(n):
 
 
 def crowd_lists(sketched: DataFrame, overlap: int, num: int, k: int) -> DataFrame:
-    """(v, c, doc, n, idx, before): lists of long sketches' rarest values by size class.
+    """(v, c, doc, n, idx, before, sig): lists of long sketches' rarest values by size class.
 
     A pair meets in the class c of its smaller set.  There the smaller one (idx) needs an overlap
     with a set at least as large, the larger one an overlap with a set of that class; both are more
@@ -149,7 +162,7 @@ def crowd_lists(sketched: DataFrame, overlap: int, num: int, k: int) -> DataFram
     idx = (F.col("c") == F.col("own")) & (F.col("at") < F.col("mine"))
     rare = cut(each.select("v", "c", "doc", "n", idx.alias("idx"), F.slice("vs", F.lit(1), F.col("at")).alias("before")), "lists")
     live = rare.groupBy("v", "c").agg(F.count("*").alias("m"), F.max("idx").alias("any")).filter("m > 1 and any")
-    return rare.join(cut(live.select("v", "c"), "often"), ["v", "c"])
+    return rare.join(cut(live.select("v", "c"), "often"), ["v", "c"]).join(sketched.select("doc", "sig"), "doc").select("v", "c", "doc", "n", "idx", "before", "sig")
 
 
 def compare(pairs: DataFrame, data: DataFrame, num: int, limits: dict[bool, tuple[int, int]] | None, size: int) -> DataFrame:
@@ -243,9 +256,11 @@ def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int, long_k
     crowds = cut(long_sketches(texts.filter("crowd"), long_k, size), "sketches")
     known = cut(known.unionByName(crowds.select("doc", F.lit(True).alias("crowd"), "n", "vs")), "sketches")
     # A pair that meets in a crowded list has two long sketches, whose lists take that list's place.
-    plain = lists.filter(F.col("m") <= SMALL).select("v", F.lit(-1).alias("c"), "doc", "n", F.lit(True).alias("idx"), F.lit(None).cast("array<long>").alias("before"))
+    plain = lists.filter(F.col("m") <= SMALL).select("v", F.lit(-1).alias("c"), "doc", "n", F.lit(True).alias("idx"), F.lit(None).cast("array<long>").alias("before"), F.lit(None).cast(SIG).alias("sig"))
     lists = plain.unionByName(crowd_lists(crowds, long_overlap, num, long_k))
     state = cut(lists.withColumn("comp", F.col("doc")).withColumn("met", F.lit(False)), "state")
+    # What a link's sets differ in, n + pn less twice the least overlap, bounds what their words differ in.
+    near = "coalesce(%s <= n + pn - 2 * ((%d * (n + pn) + %d) div %d), true)" % (" + ".join(f"bit_count(sig.w{i} ^ psig.w{i})" for i in range(PARITY)), num, num + 99, num + 100)
     limits = {False: (k, overlap), True: (long_k, long_overlap)}
     found = label = None
     turn = 0
@@ -257,14 +272,14 @@ def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int, long_k
         here = state.join(cut(open_lists.select("v", "c", "main", "m"), "open"), ["v", "c"])
         waits = here.filter("not met" if turn == 0 else "not met and comp <> main")
         spread = F.lit(0) if turn == 0 else F.when(F.col("m") <= SMALL, F.xxhash64("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(PIVOTS << 2 * (turn - 1))))
-        first = F.min_by(F.struct("doc", "comp", "n", "idx", "before"), "doc")
+        first = F.min_by(F.struct("doc", "comp", "n", "idx", "before", "sig"), "doc")
         pivots = waits.groupBy("v", "c", spread.alias("spread")).agg(first.alias("p"))
-        pivots = cut(pivots.select("v", "c", F.col("p.doc").alias("p"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.idx").alias("pidx"), F.col("p.before").alias("pbefore")), "pivots")
+        pivots = cut(pivots.select("v", "c", F.col("p.doc").alias("p"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.idx").alias("pidx"), F.col("p.before").alias("pbefore"), F.col("p.sig").alias("psig")), "pivots")
         if not pivots.limit(1).count():
             return label
         # Two pivots of a list meet once.
         here = cut(here.join(pivots.select("v", "c", F.col("p").alias("doc"), F.lit(True).alias("now")), ["v", "c", "doc"], "left").fillna(False, "now"), "open")
-        fits = "not (now and doc > p) and comp <> pc and p <> doc and (idx or pidx) and 100 * least(n, pn) >= %d * greatest(n, pn) and not coalesce(arrays_overlap(before, pbefore), false)" % num
+        fits = "not (now and doc > p) and comp <> pc and p <> doc and (idx or pidx) and 100 * least(n, pn) >= %d * greatest(n, pn) and %s and not coalesce(arrays_overlap(before, pbefore), false)" % (num, near)
         pairs = here.join(pivots, ["v", "c"]).filter(fits)
         pairs = pairs.select("p", "pn", F.col("doc").alias("x"), "n", (F.col("c") >= 0).alias("crowd"), "main")
         pairs = cut(pairs.groupBy("p", "x").agg(F.first("pn").alias("pn"), F.first("n").alias("n"), F.max("crowd").alias("crowd"), F.min("main").alias("family")), "pairs")
@@ -274,7 +289,7 @@ def joined(docs: DataFrame, reps: DataFrame, num: int, size: int, k: int, long_k
             found = new if found is None else found.unionByName(new)
             label = components(found)
         state = here.withColumn("label", F.col("comp")) if label is None else here.join(label.withColumnRenamed("node", "doc"), "doc", "left")
-        state = cut(state.select("v", "c", "doc", "n", "idx", "before", F.coalesce("label", "comp").alias("comp"), F.expr("met or now").alias("met")), "state")
+        state = cut(state.select("v", "c", "doc", "n", "idx", "before", "sig", F.coalesce("label", "comp").alias("comp"), F.expr("met or now").alias("met")), "state")
         turn += 1
 
 
