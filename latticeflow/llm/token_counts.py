@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
 
@@ -46,7 +48,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(found), pa.int64()), "n_docs": pa.array(list(found.values()), pa.int64())})
 
     each = docs.select(F.col(text).alias("text")).mapInArrow(fold, "length long, n_docs long")
-    return each.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return cut(each.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "lengths")  # read more than once, encoded once
 
 
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
