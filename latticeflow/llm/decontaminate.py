@@ -8,8 +8,8 @@ edits between the item and any substring.
 Texts are compared lower-cased with runs of white space as one blank.  Items are a query set that is
 read in blocks of bounded size; each block is broadcast and meets all documents.
 
-Defined results: null and empty texts match nothing; items that are null, or shorter than
-``min_chars`` when normalised, are not looked for; equal items each give their rows, as do repeated
+Defined results: null and empty texts match nothing; items that are null, or empty when normalised,
+are not looked for; an item too short for one edit is found as it is, wherever it occurs; equal items each give their rows, as do repeated
 documents; extra columns are ignored; without documents or items there are no rows.
 """
 
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUDGET = 0.05  # edits for each character of an item
-MIN_CHARS = 20
 BLOCK_CHARS = 2_000_000  # of items in one automaton
 
 
@@ -114,12 +113,12 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most block_chars characters (or of one item that is longer)."""
     block, size = [], 0
     for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t is not null").toLocalIterator():
         t = normal(r.t)
-        if len(t) < max(1, min_chars):
+        if not t:
             continue
         if block and size + len(t) > block_chars:
             yield block
@@ -130,13 +129,13 @@ def item_blocks(items: DataFrame, item_id: str, text: str, min_chars: int, block
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, match_end): the items found in each document, with the least edits and
     the first place, in normalised characters, where such a match ends."""
     kind, ikind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark, out = docs.sparkSession, None
-    for block in item_blocks(items, item_id, text, min_chars, block_chars):
+    for block in item_blocks(items, item_id, text, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def work(batches, sent=sent):
@@ -158,10 +157,10 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {ikind}, edits int, match_end long")
 
 
-def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", budget: float = BUDGET, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows, as they are, in which no item is found."""
     at = docs.columns.index(text)
-    for block in item_blocks(items, item_id, text, min_chars, block_chars):
+    for block in item_blocks(items, item_id, text, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches, sent=sent):
