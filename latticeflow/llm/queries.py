@@ -39,17 +39,24 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+LEVELS = [50 * 2**k for k in range(11)]
+#: A window of twice the length is two windows side by side.
+DOUBLED = ", ".join(f"h{2 * n} as (select a.doc_id, a.s, md5(a.h || b.h) h from h{n} a join h{n} b on a.doc_id = b.doc_id and b.s = a.s + {n})" for n in LEVELS[:-1])
+LONGEST = " union all ".join(f"select x.doc_id, {n} l from h{n} x join (select h, min(doc_id) d from h{n} group by h) y using (h) where x.doc_id > y.d" for n in LEVELS)
+
 OP1_SQL = f"""
 with w as (select doc_id, {WORDS} w from documents),
 g as (select doc_id, unnest(range(1, len(w) - 48)) s from w where len(w) >= 50),
-h as (select g.doc_id, s, md5(array_to_string(w.w[s:s+49], ' ')) h from g join w on g.doc_id = w.doc_id),
-f as (select h, min(doc_id) d from h group by h),
-r as (select h.doc_id, s from h join f using (h) where h.doc_id > f.d),
+h50 as (select g.doc_id, s, md5(array_to_string(w.w[s:s+49], ' ')) h from g join w on g.doc_id = w.doc_id), {DOUBLED},
+f as (select h, min(doc_id) d from h50 group by h),
+r as (select h50.doc_id, s from h50 join f using (h) where h50.doc_id > f.d),
 x as (select distinct doc_id, unnest(range(s, s + 50)) k from r),
-a as (select doc_id, list(k) ks from x group by doc_id)
+a as (select doc_id, list(k) ks from x group by doc_id),
+l as (select doc_id, max(l) l from ({LONGEST}) group by doc_id)
 select w.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(ks), 0) as bigint) n_removed,
-  sha256(coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(coalesce(ks, []), i) then null else w[i] end), lambda y: y is not null), ' '), '')) kept_sha256
-from w left join a using (doc_id)
+  sha256(coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(coalesce(ks, []), i) then null else w[i] end), lambda y: y is not null), ' '), '')) kept_sha256,
+  cast(coalesce(l.l, 0) as integer) longest
+from w left join a using (doc_id) left join l using (doc_id)
 """
 
 OP5_SQL = f"""
