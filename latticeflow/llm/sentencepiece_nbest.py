@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hand_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10  # what a character without a piece scores below the least score
@@ -424,6 +426,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
                 types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))[: len(cols)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
         seg.forget()
+        hand_back()
 
     schema = f"doc_id {kind}, n_pieces long, score double, scores array<double>, round_trip boolean, ids_sha256 string, n_best_pieces array<long>, n_best_round_trip array<boolean>, n_best_sha256 array<string>" + ", ids array<int>, n_best_ids array<array<int>>" * ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
