@@ -7,6 +7,9 @@ character lies in that set, so splitting bytes equals splitting characters.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -107,7 +110,6 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
 
         where = f"file://{tempfile.gettempdir()}/latticeflow-scratch"
-        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -136,25 +138,45 @@ def tidy_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def cut(df: DataFrame, name: str = "t", reader: SparkSession | None = None) -> DataFrame:
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut within the block are deleted at its end, but for those that stay."""
+    here = f"{_FOLDER.get() or scratch_dir(spark) + '/tables'}/{uuid.uuid4().hex}"
+    token = _FOLDER.set(here)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        delete(spark, here)
+
+
+def cut(df: DataFrame, name: str = "t", reader: SparkSession | None = None, stays: bool = False) -> DataFrame:
     """Writes a frame as Parquet to the shared folder and reads it back, in another session if given.
 
     Lost executors cost a rerun of tasks, never of the steps before, and no plan grows with the
-    rounds of a loop.
+    rounds of a loop.  A table that stays outlives the block of ``passing`` that it is cut in.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    spark, here = df.sparkSession, _FOLDER.get()
+    if here and stays:
+        here = here.rsplit("/", 1)[0]
+    path = f"{here or scratch_dir(spark) + '/tables'}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return (reader or spark).read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the folders of frames from ``cut`` that nothing reads any more."""
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

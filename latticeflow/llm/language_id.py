@@ -144,7 +144,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                     pred.append("und")
                     score.append(0.0)
                     continue
-                cos = known @ v / max(1e-9, float(np.linalg.norm(v)))
+                cos = (known * v).sum(axis=1) / max(1e-9, float(np.linalg.norm(v)))  # equal prototypes get equal sums
                 best = int(np.argmax(cos))
                 pred.append(names[best])
                 score.append(min(1.0, max(0.0, float(cos[best]))))

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WindowHash, as_bytes, cut, mix, word_hashes
+from .common import U64, WindowHash, as_bytes, cut, mix, passing, word_hashes
 from .components import components
 
 SHINGLE, K, MISS = 5, 48, 1e-10
@@ -304,7 +304,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = sk.filter("n > 0 and doc_id is not null")
     classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc")), "classes")
     reps = full.withColumnRenamed("doc_id", "doc").join(classes.select("doc"), "doc", "left_semi")
-    label = joined(docs, reps, num, size, k, long_k)
+    with passing(docs.sparkSession):
+        label = joined(docs, reps, num, size, k, long_k)
+        label = None if label is None else cut(label, "labels", stays=True)
     ids = classes
     if label is not None:
         ids = classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("doc", F.coalesce("label", "doc"))

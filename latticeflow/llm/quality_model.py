@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, cut, mix, word_hashes
+from .common import U64, as_bytes, cut, discard, mix, word_hashes
 
 FIT_ROWS = 5_000  # labelled documents to learn from
 ROUNDS, PICKS, SURE = 3, 200, 0.9  # documents that each view labels in a round, when it is as sure as that
@@ -231,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
                 top = table.filter((F.col("view") == view) & (F.col("side") == side)).groupBy("key").agg(F.max_by(F.struct("score", "i", "v"), "score").alias("x"))
                 found += [(r.key, float(side), unpack(r.x.i, r.x.v)) for r in top.orderBy(F.col("x.score").desc(), "key").limit(most).collect()]
             new[view] = found
+        discard(table)
         for view, found in new.items():
             views.teach(view, found)
         taught.append({"meta" if view == "text" else "text": len(found) for view, found in new.items()})

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WindowHash, as_bytes, cut, word_hashes
+from .common import U64, WindowHash, as_bytes, cut, passing, word_hashes
 
 WIDTH = 50
 
@@ -179,9 +179,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text + ["longest"] * levels
-    spans = cut(repeated(docs, width, levels), "spans")
+    with passing(docs.sparkSession):
+        spans = cut(repeated(docs, width, levels), "spans", stays=True)
+        more = _longer(docs, spans, 2 * width) if levels else None
+        more = None if more is None else cut(more, "longest", stays=True)
     if levels:
-        more = _longer(docs, spans, 2 * width)
         spans = spans.filter(F.size("spans") > 0).drop("run").withColumn("longest", F.lit(width))
         if more is not None:
             spans = spans.drop("longest").join(more, "doc_id", "left").withColumn("longest", F.coalesce("longest", F.lit(width)))
@@ -221,7 +223,8 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     A text without repeats stays as it is; of another, the kept words are joined by single spaces.
     """
     names, schema = docs.columns, docs.schema
-    spans = cut(repeated(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width), "spans")
+    with passing(docs.sparkSession):
+        spans = cut(repeated(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width), "spans", stays=True)
     at, size = names.index(text), names.index(n_chars) if n_chars in names else None
 
     def work(batches):
@@ -242,8 +245,9 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
                     cols[size] = pa.array(sizes, cols[size].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
-    return docs.join(spans, docs[doc_id] == spans["_span_id"], "left").drop("_span_id").select(*(docs[c] for c in names), "_spans").mapInArrow(work, schema)
+    mark = max([*names, ""], key=len) + "_"  # a name that no column has
+    spans = spans.select(F.col("doc_id").alias(mark), F.col("spans").alias(mark + "_"))
+    return docs.join(spans, docs[doc_id] == spans[mark], "left").select(*(docs[c] for c in names), spans[mark + "_"]).mapInArrow(work, schema)
 
 
 def _longer(docs: DataFrame, level: DataFrame, width: int) -> DataFrame | None:
@@ -265,5 +269,7 @@ def repeat_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     earlier one.  Each level looks only at documents that take part in a repeat of the level before.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    found = _longer(docs, docs.select("doc_id", F.lit(start).alias("run")).distinct(), start)
+    with passing(docs.sparkSession):
+        found = _longer(docs, docs.select("doc_id", F.lit(start).alias("run")).distinct(), start)
+        found = None if found is None else cut(found, "longest", stays=True)
     return found if found is not None else docs.select("doc_id", F.lit(start).alias("longest")).limit(0)

@@ -8,7 +8,7 @@ import numpy as np
 import corpus_pipeline
 from latticeflow.llm import decontaminate, language_id, sentencepiece_nbest
 
-from .test_text_operators import brute_near, brute_repeats, edit_to_substring
+from .test_text_operators import brute_near, brute_repeats, edit_to_substring, plain_bundle
 
 
 def fixture():
@@ -28,13 +28,13 @@ def expected(rows, items):
     hd = language_id.Profiles()
     total = {}
     for t, g in rows:
-        v = hd.bundle(t)
-        if g is not None and t is not None and v is not None:
+        v = plain_bundle(t, hd.letter, hd.size)
+        if g is not None and v is not None:
             total[g] = total.get(g, 0) + v.astype(float) / max(1e-9, np.linalg.norm(v))
     known = [v / np.linalg.norm(v) for v in total.values()]
 
     def identified(t):
-        v = hd.bundle(t)
+        v = plain_bundle(t, hd.letter, hd.size)
         return v is not None and max(p @ v for p in known) >= 0.1 * np.linalg.norm(v)
 
     ids = [i for i, (t, _) in enumerate(rows) if identified(t)]
@@ -75,3 +75,23 @@ def test_stages_keep_the_columns(spark, tmp_path):
             assert at.schema.simpleString() == docs.schema.simpleString(), name
             assert at.count() == (0 if empty else 1), name
     assert [s for s, _ in corpus_pipeline.STAGES] == ["identify_language", "drop_near_duplicates", "cut_repeated_passages", "drop_contaminated", "encode_pieces"]
+
+
+def test_stages_on_repeated_rows_long_texts_and_clashing_columns(spark, tmp_path):
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    copy, long, item = text(80), text(40000), text(12)
+    extra = ("x", 1, "y", "z")
+    rows = [(3, copy, "en", *extra), (3, copy, "en", *extra), (5, copy, None, *extra), (None, copy, "en", *extra), (6, long, "en", *extra), (7, text(30) + " " + item, "en", *extra), (8, None, None, None, None, None, None), (9, "", "en", *extra)]
+    schema = "doc_id long, text string, lang string, _spans string, component_id int, kept string, _span_id string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        left.append(sorted(-1 if r.doc_id is None else r.doc_id for r in docs.collect()))
+    assert left == [[-1, 3, 3, 5, 6, 7], [-1, 3, 3, 6, 7], [-1, 3, 3, 6, 7], [-1, 3, 3, 6]]
+    assert {r.doc_id: r.text for r in docs.collect()} == {None: copy, 3: copy, 6: long}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, 3, 3, 6] and all(r.round_trip for r in got)

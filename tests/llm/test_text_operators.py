@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeflow.llm import (
+    common,
     components,
     decontaminate,
     katz,
@@ -200,6 +202,28 @@ def test_least_overlap_bounds_the_binomial():
         assert 1 < t < near_dedup.K and miss <= near_dedup.MISS
 
 
+def test_tables_of_a_job_are_deleted(spark):
+    folder = pathlib.Path(common.scratch_dir(spark).removeprefix("file://")) / "tables"
+    common.cut(spark.range(1), "first")
+    before = set(folder.iterdir())
+    left = lambda: sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before)
+    with common.passing(spark):
+        with common.passing(spark):
+            common.cut(spark.range(3), "inner")
+            kept = common.cut(spark.range(4), "outer", stays=True)
+        assert kept.count() == 4 and not list(folder.rglob("inner-*"))
+        last = common.cut(kept, "last", stays=True)
+    assert last.count() == 4 and left() == ["last"]
+    rows = [(i, " ".join(f"w{k}" for k in range(60 + i % 2))) for i in range(6)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in found.collect()} == {0}
+    assert left() == ["classes", "labels", "last", "sketches"]
+    with pytest.raises(ZeroDivisionError), common.passing(spark):
+        common.cut(spark.range(3), "failed")
+        raise ZeroDivisionError
+    assert not list(folder.rglob("failed-*"))
+
+
 def test_components_join_long_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (None, 3), (7, 7)]
     got = components.components(spark.createDataFrame(links, "a long, b long"))
@@ -278,6 +302,11 @@ def test_contaminated_matches_brute_force(spark):
     assert {r.doc_id for r in decontaminate.clean(table, bench).collect()} == set(range(len(texts))) - bad
     assert decontaminate.contaminated(table, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(table.limit(0), bench).count() == 0
+    # A very long text, repeated as a row, with an item at its end alone; columns that clash.
+    long = text(60000) + " " + items[0]
+    rows = [(1, long, 7, "a"), (1, long, 7, "a"), (2, long[: -len(items[0])], 8, "b")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string, item_id int, edits string"), bench.filter("item_id = 0")).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, len(long))] * 2
 
 
 def test_language_id_held_out(spark):
@@ -298,6 +327,51 @@ def test_language_id_held_out(spark):
     assert kept.schema == data.schema and kept.filter("doc_id in (1000000, 1000001, 1000002)").count() == 0
 
 
+def plain_bundle(text, letter, size):
+    """The sum of all trigrams' vectors, one trigram at a time."""
+    kept = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).strip()
+    if not kept:
+        return None
+    at = lambda c: letter(0 if c == " " else ord(c)).astype(int)
+    kept, out = f" {kept} ", np.zeros(size, dtype=int)
+    for a, b, c in zip(kept, kept[1:], kept[2:], strict=False):
+        out += np.roll(at(a), 2) * np.roll(at(b), 1) * at(c)
+    return out
+
+
+def test_language_id_matches_brute_force(spark, docs, texts):
+    """Fit and predictions, trigram by trigram; names clash, rows repeat, one text is long, an id is null."""
+    rnd = random.Random(3)
+    french = [" ".join(rnd.choice(["été", "château", "où", "français", "l'eau", "cœur"]) for _ in range(n)) for n in (5, 40, 9000)]
+    more = [(None, french[0], "fr", 1, 2.0, 3), (500, french[1], "fr", 1, 2.0, 3), (500, french[1], "fr", 1, 2.0, 3), (501, french[2], None, 1, 2.0, 3), (502, "9 9", "fr", None, None, None)]
+    odd = [(i, t, "en" if i % 3 else None, 1, 2.0, 3) for i, t in enumerate(texts)] + more
+    table = spark.createDataFrame(odd, "doc_id long, text string, lang string, l int, score double, lang_pred int")
+    hd, total = language_id.Profiles(), {}
+    for _, t, g, *_ in odd:
+        v = plain_bundle(t, hd.letter, hd.size)
+        if g and v is not None:
+            total[g] = total.get(g, 0) + v / np.linalg.norm(v)
+    learned = language_id.fit(table)
+    assert sorted(learned) == ["en", "fr"]
+    assert all(np.allclose(learned[g], v / np.linalg.norm(v), atol=1e-6) for g, v in total.items())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in language_id.identify(table, learned).collect())
+    want = []
+    for i, t, *_ in odd:
+        v = plain_bundle(t, hd.letter, hd.size)
+        cos = {g: 0.0 if v is None else float(v @ learned[g] / np.linalg.norm(v)) for g in learned}
+        best = max(cos, key=cos.get)
+        want.append((i is None, i or 0, "und" if v is None else best, min(1.0, max(0.0, cos[best]))))
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    rows = [(1, "abc def abc", "zz"), (2, "abc def abc", "aa"), (3, "abc def abc", "mm")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(table, language_id.fit(table)).collect()} == {"aa"}
+
+
 def test_language_vectors_are_bound_and_bundled():
     hd = language_id.Profiles(256)
     a, b, c = (hd.letter(ord(x)).astype(int) for x in "abc")
@@ -325,6 +399,26 @@ def test_quality_model_learns_from_both_views(spark):
     assert quality_model.classify(docs.limit(0), {"constant": 1.0}).count() == 0
 
 
+def test_quality_model_repeated_rows_and_ties(spark):
+    """Many equal texts are equally sure; repeated rows of one id are scored alike and change nothing."""
+    rows = [(i, f"good plain words {'and more ' * 20}" if i % 2 else "BUY $$$ 99 " * 8, "en", f"s{i % 2}", 100, "clash") for i in range(240)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (61, None), (None, 0)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows + [(None, "good plain words", "en", "s1", 16, "clash")], schema)
+    twice = once.unionByName(once)
+    scores = []
+    for table in (once, twice):
+        model = quality_model.fit(table, labels)
+        found = quality_model.classify(table, model).filter("doc_id is not null").collect()
+        assert all(r.kept == bool(r.doc_id % 2) for r in found)
+        by_id = collections.defaultdict(set)
+        for r in found:
+            by_id[r.doc_id].add(r.score)
+        assert len(by_id) == 240 and all(len(x) == 1 for x in by_id.values())
+        scores.append({i: x.pop() for i, x in by_id.items()})
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in scores[0])
+
+
 def model_scores():
     """Every piece's score as the library reads it from the model, and the ids of byte pieces."""
     import sentencepiece
@@ -506,6 +600,23 @@ def test_rules_separate_and_apply_in_order(spark):
     assert "Python" not in quality_rules.apply_rules(docs, rules)._jdf.queryExecution().toString()
 
 
+def test_rules_as_columns_match_rules_by_hand(spark, docs, texts):
+    """The conditional expression against each rule evaluated in Python; thresholds that rows meet
+    exactly count as not above, the first of equal rules rejects, and repeated rows agree."""
+    stats = quality_rules.base_statistics(docs.select("doc_id", "text"))
+    rows = {r.doc_id: r.asDict() for r in stats.select("doc_id", *(c.alias(k) for k, c in quality_rules.features().items())).collect()}
+    middle = sorted(r["mean_word"] for r in rows.values())[len(rows) // 2]
+    one = quality_rules.Rule((("mean_word", ">", middle), ("line_words", ">", 50.0)), 1.0, 5)
+    rules = [one, one, quality_rules.Rule((("mean_word", "<=", middle),), 1.0, 5)]
+    got = quality_rules.apply_rules(docs.unionByName(docs), rules).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        first = next((k for k, x in enumerate(rules) if x.holds(rows[r.doc_id])), None)
+        assert r.rule == first and r.kept == (not r.base_failed and first is None)
+    assert {r.rule for r in got} >= {0, 2, None} or {r.rule for r in got} >= {0, 2}
+    assert quality_rules.apply_rules(docs.limit(0), rules).count() == 0
+
+
 def brute_katz(texts, learns, order):
     """Counts of whole n-grams and the recursion over orders, one word at a time."""
     split = [[w.encode() for w in words((t or "").translate({c: c + 32 for c in range(65, 91)}))] + ["end"] for t in texts]
