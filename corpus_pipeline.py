@@ -1,4 +1,11 @@
-"""Stages over the documents table, each written as Parquet and read again by the next."""
+"""Stages over the documents table, each written as Parquet and read again by the next.
+
+Defined results: without documents every stage gives an empty table.  Null and empty texts, and texts
+without letters, have no language and go in the first stage.  Repeated rows of one id are judged alike,
+so they stay or go together; of equal texts under several ids the smallest id stays, and a row without an
+id is no copy of anything.  Equal scores of languages go to the one that sorts first.  Texts of any length
+are read whole.  Extra columns, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.llm import decontaminate, language_id, near_dedup, sentencepiece_nbest, substring_dedup
-from latticeflow.llm.common import scratch_dir
+from latticeflow.llm.common import delete, scratch_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents and returns the last one's rows."""
+    """Applies the stages to the documents and returns the last one's rows; a stage's table goes when
+    the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{scratch_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, f"{base}/{before}")
+        before = name
     return docs
