@@ -24,7 +24,6 @@ def written(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = f"file://{tempfile.gettempdir()}/latticeflow-scratch"
-        spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/network/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
