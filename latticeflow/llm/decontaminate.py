@@ -20,6 +20,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 BUDGET = 0.05  # edits for each character of an item
 BLOCK_CHARS = 2_000_000  # of items in one automaton
 
@@ -152,7 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
                 kinds = (pa.int64() if ikind == "bigint" else None, pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "item_id", "edits", "match_end"])
 
-        part = texts.mapInArrow(work, f"doc_id {kind}, item_id {ikind}, edits int, match_end long")
+        part = texts.mapInArrow(tidied(work), f"doc_id {kind}, item_id {ikind}, edits int, match_end long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {ikind}, edits int, match_end long")
 
@@ -170,5 +172,5 @@ def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str
             for batch in batches:
                 yield batch.filter(pa.array([not match.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(tidied(work), docs.schema)
     return docs

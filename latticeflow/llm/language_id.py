@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SIZE, ORDER, SEED = 1024, 3, 20240229
 FIT_ROWS = 20_000  # labelled rows to fit on, in expectation
 KNOWN = 40_000  # n-gram vectors kept at a time
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                     total[x] = total.get(x, 0) + v / max(1e-9, float(np.linalg.norm(v)))
         yield pa.RecordBatch.from_pydict({"l": pa.array(list(total), pa.string()), "v": pa.array([x.astype("f8") for x in total.values()], pa.list_(pa.float64()))})
 
-    parts = ready.mapInArrow(fold, "l string, v array<double>").select("l", F.posexplode("v").alias("k", "x"))
+    parts = ready.mapInArrow(tidied(fold), "l string, v array<double>").select("l", F.posexplode("v").alias("k", "x"))
     sums: dict[str, np.ndarray] = {}
     for r in parts.groupBy("l", "k").agg(F.sum("x").alias("x")).toLocalIterator():  # languages x size numbers
         sums.setdefault(r.l, np.zeros(size))[r.k] = r.x
@@ -150,7 +152,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 score.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(predict), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.1, text: str = "text") -> DataFrame:
@@ -169,4 +171,4 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], min_scor
                 keep.append(v is not None and float((known @ v).max()) >= min_score * max(1e-9, float(np.linalg.norm(v))))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidied(work), docs.schema)

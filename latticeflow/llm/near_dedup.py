@@ -35,13 +35,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WindowHash, as_bytes, cut, mix, passing, word_hashes
+from .common import U64, WindowHash, as_bytes, cut, mix, passing, tidied, word_hashes
 from .components import components
 
 SHINGLE, K, MISS = 5, 48, 1e-10
 LONG, STEP = 384, 1.04  # values in the sketches of crowded lists' members; ratio of size classes
 PARITY = 8  # words of 64 bits that tell sets apart without a comparison
 SIG = "struct<" + ", ".join(f"w{i}: long" for i in range(PARITY)) + ">"
+BLOCK = 512  # sketches that one is compared with at a time
 CELL = 4_000_000  # shingles, over all pairs, that are compared in one place
 SMALL, PIVOTS = 32, 64  # lists up to SMALL close in the second round; larger ones take PIVOTS, then four times as many a round
 
@@ -82,7 +83,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
                 low.append((s[:k] >> U64(1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "sketch"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, n long, d1 long, d2 long, sketch array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(work), f"doc_id {kind}, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _needed(size, overlap: int, num: int):
@@ -132,7 +133,7 @@ def long_sketches(texts: DataFrame, k: int, size: int) -> DataFrame:
                 sig = pa.StructArray.from_arrays([pa.array(w) for w in words], names=[f"w{i}" for i in range(PARITY)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([(s[:k] >> U64(1)).astype(np.int64) for s in sets], pa.list_(pa.int64())), sig], names=["doc", "n", "vs", "sig"])
 
-    return texts.select("doc", "text").mapInArrow(work, f"doc {kind}, n long, vs array<long>, sig {SIG}")
+    return texts.select("doc", "text").mapInArrow(tidied(work), f"doc {kind}, n long, vs array<long>, sig {SIG}")
 
 
 def size_class(n):
@@ -209,7 +210,7 @@ def compare(pairs: DataFrame, data: DataFrame, num: int, limits: dict[bool, tupl
                 while end < n and columns[3][end] == p and columns[4][end] is not None and (columns[0][end], columns[1][end], columns[2][end]) == here:
                     end += 1
                 if limits:
-                    found = _estimate(sets[p], [sets[y] for y in columns[4][k:end]], num, *limits[crowd])
+                    found = [f for lo in range(k, end, BLOCK) for f in _estimate(sets[p], [sets[y] for y in columns[4][lo : min(end, lo + BLOCK)]], num, *limits[crowd])]
                 else:
                     mine = sets[p]
                     found = [1 if 100 * both >= num * (len(mine) + len(s) - both) and both else 0 for s in (sets[y] for y in columns[4][k:end]) for both in (len(np.intersect1d(mine, s, assume_unique=True)),)]
@@ -222,7 +223,7 @@ def compare(pairs: DataFrame, data: DataFrame, num: int, limits: dict[bool, tupl
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (3, 4, 0, 5, 6, 1)), pa.array(sure, pa.bool_())], names=["p", "x", "family", "pn", "n", "crowd", "sure"])
 
     name = kind.simpleString()
-    return rows.mapInArrow(work, f"p {name}, x {name}, family {name}, pn long, n long, crowd boolean, sure boolean")
+    return rows.mapInArrow(tidied(work), f"p {name}, x {name}, family {name}, pn long, n long, crowd boolean, sure boolean")
 
 
 def _estimate(mine: tuple[int, np.ndarray], others: list[tuple[int, np.ndarray]], num: int, k: int, overlap: int) -> list[int]:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WindowHash, as_bytes, cut, passing, word_hashes
+from .common import U64, WindowHash, as_bytes, cut, passing, tidied, word_hashes
 
 WIDTH = 50
 
@@ -88,7 +88,7 @@ def picked_halves(docs: DataFrame, width: int) -> DataFrame:
                 at, half, context = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in cols)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array(_signed(half)), pa.array(_signed(context))], names=["doc_id", "at", "half", "context"])
 
-    return docs.mapInArrow(work, f"doc_id {kind}, at int, half long, context long")
+    return docs.mapInArrow(tidied(work), f"doc_id {kind}, at int, half long, context long")
 
 
 def list_windows(docs: DataFrame, open_halves: DataFrame, width: int) -> DataFrame:
@@ -115,7 +115,7 @@ def list_windows(docs: DataFrame, open_halves: DataFrame, width: int) -> DataFra
                 ids = part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(_signed(np.concatenate(w1))), pa.array(_signed(np.concatenate(w2)))], names=["doc_id", "at", "w1", "w2"])
 
-    return docs.join(marks, "doc_id").select("doc_id", "text", "ats").mapInArrow(work, f"doc_id {kind}, at int, w1 long, w2 long")
+    return docs.join(marks, "doc_id").select("doc_id", "text", "ats").mapInArrow(tidied(work), f"doc_id {kind}, at int, w1 long, w2 long")
 
 
 def longest_run(spans):
@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + ", longest int" * levels
     found = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest"))
-    return found.mapInArrow(work, schema)
+    return found.mapInArrow(tidied(work), schema)
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", width: int = WIDTH) -> DataFrame:
@@ -247,7 +247,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
 
     mark = max([*names, ""], key=len) + "_"  # a name that no column has
     spans = spans.select(F.col("doc_id").alias(mark), F.col("spans").alias(mark + "_"))
-    return docs.join(spans, docs[doc_id] == spans[mark], "left").select(*(docs[c] for c in names), spans[mark + "_"]).mapInArrow(work, schema)
+    return docs.join(spans, docs[doc_id] == spans[mark], "left").select(*(docs[c] for c in names), spans[mark + "_"]).mapInArrow(tidied(work), schema)
 
 
 def _longer(docs: DataFrame, level: DataFrame, width: int) -> DataFrame | None:
