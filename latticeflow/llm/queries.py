@@ -85,7 +85,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"))
-    pages = warc.resolve(warc.reassemble(warc.read(spark, path), keep_payload=False))
+    pages = warc.resolve(warc.read_pages(spark, path, keep_payload=False))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -27,6 +27,7 @@ from latticeflow.llm import (
     token_counts,
     warc,
 )
+from latticeflow.llm import queries as llm_queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _t string, half long"
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -550,6 +551,32 @@ def test_warc_repeated_and_missing_ids(spark):
     assert {r.refers_to_id for r in got.values() if r.refers_to_id} <= {r.record_id for r in got.values()}
 
 
+def test_warc_archives_are_parsed_once(spark, tmp_path, monkeypatch):
+    """Origins within an archive, over the edges of archives and with a lost archive, against the
+    records taken one by one; the query's result reads no archive again."""
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 3)
+    rnd = random.Random(6)
+    html = [None, "", "x" * 1200, "x" * 1200] + ["".join(rnd.choice("aé漢\r\n ") for _ in range(n)) for n in (9000, 9000, 200, 40000, 15000, 12000)]
+    html.append(html[7])
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    result = llm_queries.op8_warc(spark, str(tmp_path))
+    assert "binaryFile" not in result._jdf.queryExecution().toString()
+    assert {r.page_id: r.payload_bytes for r in result.collect()} == {i: len((h or "").encode()) for i, h in enumerate(html)}
+    path = warc.write(pages, segment_bytes=5000)
+    tables = lambda: [sorted(map(repr, warc.resolve(t).select(*warc._names(warc.PAGE), "refers_to").collect())) for t in (warc.read_pages(spark, path), warc.reassemble(warc.read(spark, path)))]
+    got, expected = tables()
+    assert got == expected and len(got) == len(html) and all("error=None" in r for r in got)
+    files = sorted(f for f in pathlib.Path(path.removeprefix("file://")).glob("part-*"))
+    assert len(files) > 10
+    for f in files[4:6]:
+        f.unlink()
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    got, expected = tables()
+    assert got == expected and any("error='" in r for r in got)
+    assert warc.read_pages(spark, warc.write(pages.limit(0))).count() == 0
+
+
 def test_chunked_framing():
     for data in (b"", b"x", b"ab" * 9000):
         assert warc.unchunked(warc.chunked(data, 100)) == data
